@@ -33,6 +33,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, kind: str = "rows") -> DataFrame:
+    """The same rows, written to the shared folder and read back: as cut(), with true sizes for the planner."""
+    path = new_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns under names of their own, so that no column can clash with an operator's."""
+    return df.toDF(*(f"_k{i}" for i in range(len(df.columns))))
+
+
+def dealt_groups(rows: DataFrame, keys: list[str], by: Column, limit: int) -> DataFrame:
+    """Rows of groups that are compared pair by pair, with ``slice``, ``lo`` and ``hi``, so that no task needs a whole
+    hot group: a group of over ``limit`` rows falls into slices by the hash of ``by``, and each row goes to the
+    sub-groups (lo, hi) of its slice with every other. Any two rows of a group meet in a sub-group."""
+    sizes = rows.groupBy(keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    big = stored(sizes.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_m")), "groups")
+    out = rows.join(big, keys, "left").withColumn("_m", F.coalesce("_m", F.lit(1)))
+    out = out.withColumn("slice", F.pmod(F.xxhash64(by), F.col("_m")).cast("int"))
+    out = out.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    return out.withColumns({"lo": F.least("slice", "_t"), "hi": F.greatest("slice", "_t")}).drop("_t", "_m")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
