@@ -1,11 +1,33 @@
-"""The corpus pipeline: stages from documents to packed sequences."""
+"""The corpus pipeline: stages from documents to packed sequences, by operators of knotwork.llm.
 
-STAGES: list = []
+Quality rules and the quality classifier drop what they reject, SimHash near-dedup leaves one document of each group,
+mixing repeats documents of rarer sources, and best-fit packing lays all of them out in sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from knotwork.llm.mixing import mixing_stage
+from knotwork.llm.packing import packing_stage
+from knotwork.llm.quality_classifier import quality_classifier_stage
+from knotwork.llm.quality_rules import quality_rules_stage
+from knotwork.llm.simhash import simhash_stage
+from knotwork.llm.util import stored
+
+STAGES = [
+    ("quality rules", quality_rules_stage),
+    ("quality classifier", quality_classifier_stage),
+    ("simhash near-dedup", simhash_stage),
+    ("source mixing", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+#: Suffix arrays, a trained field and packing aren't SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from .chat_format import op3_chat_format
+from .embedding_dedup import op8_embedding_dedup
+from .mixing import op7_source_mixing
 from .packing import op4_packing
+from .quality_classifier import op2_quality_classifier
+from .quality_rules import op5_quality_rules
+from .simhash import op9_simhash
 from .token_counts import op1_token_counts
 from .token_output import op10_token_output
 from .url_filters import SQL as URL_SQL
@@ -11,7 +16,7 @@ from .url_filters import op6_url_filters
 
 
 def queries() -> dict:
-    found = [op1_token_counts, op3_chat_format, op4_packing, op6_url_filters, op10_token_output]
+    found = [op1_token_counts, op2_quality_classifier, op3_chat_format, op4_packing, op5_quality_rules, op6_url_filters, op7_source_mixing, op8_embedding_dedup, op9_simhash, op10_token_output]
     return {f.__name__: f for f in found}
 
 
