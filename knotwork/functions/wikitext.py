@@ -129,8 +129,9 @@ def link_text(node: Node, captions: bool) -> str:
     return flat(rest[0], captions) if rest else name
 
 
-def links(parts: list[Node]) -> Iterator[Link]:
-    """All links that aren't images, in order, those inside captions, titles and templates too."""
+def links(parts: list[Node], markup: str) -> Iterator[Link]:
+    """All links that aren't images, in order, those inside captions, titles and templates too. A target that stands
+    in the markup as it reads is located there, any other at the start of its link."""
     for n in parts:
         if n.kind == "link":
             target, *rest = fields(n)
@@ -138,11 +139,11 @@ def links(parts: list[Node]) -> Iterator[Link]:
             if not is_image(name):
                 anchor = plain(flat(rest[0])).replace(PLACEHOLDER, "").strip() if rest else name
                 if anchor:
-                    raw = target[0].parts[0] if target and target[0].kind == "text" else ""
-                    left = (target[0].start if target else n.start + 2) + len(raw) - len(raw.lstrip())
+                    begin = target[0].start if target else n.start + 2
+                    left = max(begin, markup.find(name, begin))
                     yield Link(name, anchor, left, left + len(name))
         if n.kind != "text":
-            yield from links(n.parts)
+            yield from links(n.parts, markup)
 
 
 def plain(text: str) -> str:
@@ -211,7 +212,7 @@ def parse(markup: str) -> dict | None:
         text, items = lines(flat(parts))
         excerpt = re.sub(rf"\([^()]*{PLACEHOLDER}[^()]*\)", "", lines(flat(parts, captions=False))[0]).replace(PLACEHOLDER, "")
         paragraph, sentence = snippet(excerpt)
-        return {"snippet": {"first_paragraph": paragraph, "first_sentence": sentence}, "text": clean(text), "links": [x._asdict() for x in links(parts)], "list_items": items}
+        return {"snippet": {"first_paragraph": paragraph, "first_sentence": sentence}, "text": clean(text), "links": [x._asdict() for x in links(parts, markup)], "list_items": items}
     except (ValueError, RecursionError):
         return None
 
