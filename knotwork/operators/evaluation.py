@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 
 def ranking_metrics(rows: DataFrame, by: list[str], score: str, truth: str, tie: str) -> DataFrame:
     """One row: groups, top-1 accuracy and mean NDCG; groups without a true row count 0."""
@@ -19,9 +21,8 @@ def ranking_metrics(rows: DataFrame, by: list[str], score: str, truth: str, tie:
 def binary_metrics(rows: DataFrame, score: str, truth: str, cut: float = 0.5) -> DataFrame:
     """One row: confusion counts, precision, recall, F1 and the area under the curve, by mean ranks of equal scores."""
     per = rows.groupBy(score).agg(F.sum(F.col(truth).cast("int")).alias("pos"), F.sum(1 - F.col(truth).cast("int")).alias("neg"))
-    # distinct scores only; their running sum is ordered, not gathered by key
-    below = F.sum("neg").over(Window.orderBy(score)) - F.col("neg")
-    area = per.withColumn("_b", below).agg(F.sum(F.col("pos") * (F.col("_b") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    ranked = running(per, [score], F.col("neg"), "_upto").withColumn("_b", F.col("_upto") - F.col("neg"))
+    area = ranked.agg(F.sum(F.col("pos") * (F.col("_b") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     positive, true = F.col(score) >= cut, F.col(truth).cast("boolean")
     count = lambda c: F.sum(c.cast("int"))
     confusion = rows.agg(count(positive & true).alias("tp"), count(positive & ~true).alias("fp"), count(~positive & true).alias("fn"), count(~positive & ~true).alias("tn"))
@@ -72,15 +73,18 @@ def boosted_trees(features: tuple[str, ...], target: str, rounds: int = 20, dept
 
 
 def cross_validated(rows: DataFrame, features: tuple[str, ...], target: str, fold: str, k: int = 5, **settings) -> DataFrame:
-    """Out-of-fold predictions: (all columns, raw, probability of 1)."""
+    """Out-of-fold predictions: (all columns, raw, score: the probability of 1); null where nothing is left to train on."""
     from functools import reduce
 
     from pyspark.ml.functions import vector_to_array
 
     parts = []
     for i in range(k):
-        model = boosted_trees(features, target, **settings).fit(rows.where(F.col(fold) != i))
-        out = model.transform(rows.where(F.col(fold) == i))
+        rest = rows.where(F.col(fold) != i)
+        if rest.isEmpty():
+            parts.append(rows.where(F.col(fold) == i).withColumns({"raw": F.lit(None).cast("double"), "score": F.lit(None).cast("double")}))
+            continue
+        out = boosted_trees(features, target, **settings).fit(rest).transform(rows.where(F.col(fold) == i))
         parts.append(out.withColumn("raw", vector_to_array("rawPrediction")[1]).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ARTICLE, CATEGORY, MAX_CATEGORIES
@@ -28,7 +28,8 @@ def multiplicities(link: DataFrame) -> DataFrame:
     """(dir, page_id, link, cnt, most): how often each neighbour is linked, and the page's largest such count."""
     arms = F.explode(F.array(F.struct(F.lit("in").alias("dir"), F.col("destination").alias("page_id"), F.col("source").alias("link")), F.struct(F.lit("out").alias("dir"), F.col("source").alias("page_id"), F.col("destination").alias("link"))))
     counted = link.select(arms.alias("x")).select("x.*").groupBy("dir", "page_id", "link").agg(F.count("*").alias("cnt"))
-    return counted.withColumn("most", F.max("cnt").over(Window.partitionBy("dir", "page_id")))
+    # a join, not a window: a hub's neighbours need not meet in one task
+    return counted.join(counted.groupBy("dir", "page_id").agg(F.max("cnt").alias("most")), ["dir", "page_id"])
 
 
 def top_linked(link: DataFrame, n: int) -> DataFrame:
@@ -49,9 +50,10 @@ def sense_counts(link: DataFrame, anchor: Column) -> DataFrame:
 
 def commonness(senses: DataFrame, least: float = 0.0) -> DataFrame:
     """Senses whose share of their label's links is over ``least``, with their share among those that are left."""
-    label = Window.partitionBy("label")
-    kept = senses.withColumn("prior", F.col("n") / F.sum("n").over(label)).where(F.col("prior") > least)
-    return kept.withColumn("commonness", F.col("n") / F.sum("n").over(label)).drop("prior")
+    total = senses.groupBy("label").agg(F.sum("n").alias("_total"))
+    kept = senses.join(total, "label").where(F.col("n") / F.col("_total") > least).drop("_total")
+    left = kept.groupBy("label").agg(F.sum("n").alias("_left"))
+    return kept.join(left, "label").withColumn("commonness", F.col("n") / F.col("_left")).drop("_left")
 
 
 def commonest(senses: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..config import MAX_NGRAM_TOKENS, MIN_LINK_PROBABILITY
 from ..functions.measures import link_probability
 from ..functions.ngrams import candidates, counted_ngrams
 from ..functions.text import tokens
+from .ordering import numbered
 
 #: Labels that workers may hold as a set; with more of them n-grams meet the labels in a join alone.
 KNOWN = 500_000
@@ -46,12 +47,8 @@ def usable(labels: DataFrame, min_in_links: int, least: float = MIN_LINK_PROBABI
 
 
 def with_ids(labels: DataFrame) -> DataFrame:
-    """Labels numbered from 1 in their order: ranges of labels are numbered apart, on top of the counts before them."""
-    ranged = labels.repartitionByRange("label").withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy("label"))
-    return ranged.join(before, "_p").withColumn("id", (F.col("_before") + inside).cast("long")).drop("_p", "_before")
+    """Labels numbered from 1 in their order."""
+    return numbered(labels, ["label"], "id")
 
 
 def unshadowed(spans: DataFrame, keys: list[str], tie: str) -> DataFrame:
