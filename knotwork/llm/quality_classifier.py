@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tokens import forget
 from .util import numbered, table
 from .words import SPACE, offsets, raw_texts, slices
 
@@ -256,6 +257,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id, the columns ``keep`` and the score of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = raw_texts(batch.column(batch.num_columns - 1))
             for a, b in slices(texts):

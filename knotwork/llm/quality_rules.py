@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tokens import forget
 from .util import numbered, table
 from .words import SPACE, counts, offsets, raw_texts, slices, word_ids
 
@@ -134,6 +135,7 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """id, the columns ``keep``, and the counts of each text; ``spans``: the union of its repeats, as word ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = raw_texts(batch.column(batch.num_columns - 1))
             for a, b in slices(texts):

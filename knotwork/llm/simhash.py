@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .tokens import forget
 from .util import dealt_groups, numbered, partitions, stored, table
 from .words import raw_texts
 
@@ -67,6 +68,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, the columns ``keep`` and ``fp``: the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = np.fromiter((fingerprint(t, shingle) for t in raw_texts(batch.column(batch.num_columns - 1))), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*names, "fp"])

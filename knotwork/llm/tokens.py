@@ -20,9 +20,10 @@ WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
 #: A blank inside or at the end of a longer run of white space: such a text is cut by CHUNK, not by blanks.
 RUN = re.compile(f"[{WS}] ")
-#: Entries that each of a worker's caches may hold (about 200 bytes each); once full it stays as it is, and
-#: words that it does not hold are worked out each time.
-CACHE = 800_000
+#: Entries that a worker's caches may hold (about 200 bytes each), that of words and each of the others; once full a
+#: cache stays as it is, and what it does not hold is worked out each time. A word's prefix counts take more work and
+#: less memory than its ids, so more of them are held.
+WORDS, CACHE, PREFIXES = 400_000, 100_000, 800_000
 #: A word of Latin letters, perhaps with one mark behind it: nearly all words, and their pieces are plain.
 WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([,.;:!?])?").fullmatch
 BYTE_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,14 +46,16 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Cache(dict):
-    """A dict that makes missing values itself and never holds more than ``CACHE`` of them."""
+    """A dict that makes missing values itself and never holds more than ``most`` of them."""
+
+    most = CACHE
 
     def __init__(self, make):
         self.make = make
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(key) <= 64 and len(self) < CACHE:
+        if len(key) <= 64 and len(self) < self.most:
             self[key] = value
         return value
 
@@ -60,6 +63,8 @@ class Cache(dict):
 class Words(Cache):
     """From a word behind a blank, given without it; a mark behind the word is looked up on its own."""
 
+    most = WORDS
+
     def __init__(self, word, mark, other):
         self.word, self.mark, self.other = word, Cache(mark), other
 
@@ -70,7 +75,7 @@ class Words(Cache):
             value = self[m[1]] + self.mark[m[2]]
         else:
             value = self.word(m[1])
-        if len(key) <= 64 and len(self) < CACHE:
+        if len(key) <= 64 and len(self) < self.most:
             self[key] = value
         return value
 
@@ -175,6 +180,7 @@ class Prefixes(Encoder):
         self.pair = Cache(self.fits)
         self.counts = Cache(self.count_piece)
         self.after_blank = Words(self.of_word, self.of_chunk, self.of_chunk)
+        self.after_blank.most = PREFIXES
         self.chunks = Cache(self.of_chunk)
         self.runs = re.compile(f"([{WS}]*)([^{WS}]*)")
 
@@ -246,3 +252,9 @@ class Prefixes(Encoder):
 @lru_cache(maxsize=2)
 def prefixes(name: str) -> Prefixes:
     return Prefixes(name)
+
+
+def forget() -> None:
+    """Gives up this worker's encoders: workers outlive a stage, and other stages need their memory."""
+    encoder.cache_clear()
+    prefixes.cache_clear()
