@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from . import more
 from .queries import QUERIES, SQL
 
+assert more.query  # its queries are added as it is imported
+
 
 def queries() -> dict:
     return dict(QUERIES)
