@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path, shared_dir, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = tempfile.mkdtemp(prefix="knotwork-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+__all__ = ["cut", "dealt_groups", "new_path", "numbered", "partitions", "shared_dir", "stored", "table"]
 
 
-def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,13 +20,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, kind: str = "rows") -> DataFrame:
-    """The same rows, written to the shared folder and read back: as cut(), with true sizes for the planner."""
-    path = new_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def numbered(df: DataFrame) -> DataFrame:
     """The same columns under names of their own, so that no column can clash with an operator's."""
     return df.toDF(*(f"_k{i}" for i in range(len(df.columns))))
@@ -59,7 +39,3 @@ def dealt_groups(rows: DataFrame, keys: list[str], by: Column, limit: int) -> Da
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def unsigned_crc32(text: Column) -> Column:
-    return F.crc32(text.cast("binary"))
