@@ -191,6 +191,12 @@ def digests(segments: DataFrame) -> DataFrame:
 
 
 PROBE = "</s>[INST] ok [/INST]"
+SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) p),
+e AS (SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS shown, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), '|>', '|\>') AS mark FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length(shown) + length(mark) + 13)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+"""
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import chat_format, embedding_dedup, quality_rules, url_filters
 from .chat_format import op3_chat_format
 from .embedding_dedup import op8_embedding_dedup
 from .mixing import op7_source_mixing
@@ -11,7 +12,6 @@ from .quality_rules import op5_quality_rules
 from .simhash import op9_simhash
 from .token_counts import op1_token_counts
 from .token_output import op10_token_output
-from .url_filters import SQL as URL_SQL
 from .url_filters import op6_url_filters
 
 
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": URL_SQL}
+    return {"op3_chat_format": chat_format.SQL, "op5_quality_rules": quality_rules.SQL, "op6_url_filters": url_filters.SQL, "op8_embedding_dedup": embedding_dedup.SQL}
