@@ -202,3 +202,22 @@ def test_pipeline_against_its_parts(spark, sf_dir):
         first[r["doc_id"]] = first.get(r["doc_id"], 0) + (r["piece"] == 0)
     assert first == used
     assert packing.CAPACITY == 1024 and len(corpus_pipeline.STAGES) == 5
+
+
+def same(v):
+    return round(v, 6) if isinstance(v, float) else v
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "pages", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    own = queries.queries()[name](spark, sf_dir)
+    got = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in got.description]
+    assert sorted(names) == sorted(own.columns)
+    rows = lambda found, columns: sorted((tuple(same(r[columns.index(c)]) for c in sorted(names)) for r in found), key=repr)
+    assert rows([tuple(r) for r in own.collect()], own.columns) == rows(got.fetchall(), names)
