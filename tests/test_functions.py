@@ -146,3 +146,22 @@ def test_configuration():
     found = Language.from_json('[{"code": "en_simple", "name": "Simple", "disambiguationPrefixes": ["dab"], "trainingProfile": {"minInLinks": 3, "disambiguatorGroup": [{"name": "train", "size": 5}]}}]')
     assert found["en_simple"].wiki_prefix == ":simple:" and found["en_simple"].profile.min_in_links == 3 and found["en_simple"].profile.disambiguator_groups == (("train", 5),)
     assert Settings.from_environment({"N_WORKERS": "3", "COMPRESS_MARKUP": "false"}).master == "local[3]" and Settings.from_environment({}).compress
+
+
+def test_both_token_patterns_agree():
+    import regex
+
+    every = "".join(map(chr, range(0x250)))
+    for text in (every, *(every[i : i + 3] for i in range(0x24D)), "a²b ½x º1ª µ"):
+        assert [m.span() for m in ng.LATIN.finditer(text)] == [m.span() for m in regex.finditer(tx.TOKEN, text)] == ng.spans(text)
+    assert [("x日本 é̈1")[a:b] for a, b in ng.spans("x日本 é̈1")] == ["x日本", "é̈", "1"]
+
+
+def test_known_labels_lose_no_form():
+    rng = random.Random(9)
+    words = ["iceland", "ICELAND", "New", "york", "straße", "İzmir", "ıl", "K", "ǆ", "the", "The"]
+    for _ in range(200):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 8))) + rng.choice([".", ". ", "! X"])
+        every = ng.label_candidates(text, 2)
+        known = {x[2] for x in every if rng.random() < 0.3}
+        assert ng.label_candidates(text, 2, known) == [x for x in every if x[2] in known]
