@@ -17,7 +17,7 @@ from .operators import labels as lb
 from .operators import relatedness as rl
 from .operators import titles as tt
 from .operators import training as tr
-from .sources.dump import page_rows, read_pages, site_info, unparseable
+from .sources.dump import read_pages, site_info, unparseable
 from .sources.tables import Ledger, Tables, export_csv, first_wins
 
 
@@ -119,5 +119,3 @@ class Mine:
             ran.append(number)
         return ran
 
-
-__all__ = ["Mine", "page_rows"]

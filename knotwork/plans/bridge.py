@@ -5,6 +5,7 @@ Each view exists twice: as a DataFrame here, and as SQL in CTES for the twin of
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -248,27 +249,23 @@ CTES["soft_sense"] = "SELECT *, exp(score - max(score) OVER (PARTITION BY doc_id
 CTES["best_sense"] = "SELECT doc_id, label, page_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY round(score, 9) DESC, page_id) AS place FROM soft_sense) WHERE place = 1"
 
 
+WALK = "walk(title, goes, hops) AS (SELECT title, redirect_target, 1 FROM redirecting WHERE page_type = 3 UNION ALL SELECT w.title, r.redirect_target, w.hops + 1 FROM walk w JOIN redirecting r ON r.title = w.goes AND r.page_type = 3 WHERE w.hops < 16)"
+
+
 def with_ctes(sql: str) -> str:
     """The statement with the views that it and they name in front."""
-    import re
-
     wanted: list[str] = []
 
     def need(text: str) -> None:
-        for name in CTES:
+        for name, body in CTES.items():
             if name not in wanted and re.search(rf"\b(FROM|JOIN) {name}\b", text):
-                need(CTES[name])
+                need(body)
                 if name not in wanted:
                     wanted.append(name)
+        if "FROM walk" in text and "walk" not in wanted:
+            need(CTES["resolved_redirect"].replace("FROM walk", "FROM redirecting"))
+            wanted.append("walk")
 
     need(sql)
-    recursive = "walk" in sql or any("FROM walk" in CTES[w] for w in wanted)
-    parts = [f"{w} AS MATERIALIZED ({CTES[w]})" for w in wanted]
-    if recursive:
-        at = next((i for i, w in enumerate(wanted) if "FROM walk" in CTES[w]), len(parts))
-        walk = "walk(title, goes, hops) AS (SELECT title, redirect_target, 1 FROM redirecting WHERE page_type = 3 UNION ALL SELECT w.title, r.redirect_target, w.hops + 1 FROM walk w JOIN redirecting r ON r.title = w.goes AND r.page_type = 3 WHERE w.hops < 16)"
-        if "redirecting" not in wanted:
-            parts.insert(0, f"redirecting AS MATERIALIZED ({CTES['redirecting']})")
-            at += 1
-        parts.insert(max(at, 1 + next((i for i, p in enumerate(parts) if p.startswith("redirecting ")), 0)), walk)
-    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {sql}" if parts else sql
+    parts = [WALK if w == "walk" else f"{w} AS MATERIALIZED ({CTES[w]})" for w in wanted]
+    return f"WITH {'RECURSIVE ' if 'walk' in wanted else ''}{', '.join(parts)} {sql}" if parts else sql

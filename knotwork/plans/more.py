@@ -15,9 +15,7 @@ from ..operators import training as tr
 from ..sources import tables as st
 from ..storage import new_path
 from .bridge import Star, Wiki, table
-from .queries import OTHERS, TOPIC, query, r, rolled_topics
-
-assert OTHERS
+from .queries import TOPIC, query, r, rolled_topics
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k = 1")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import ENGLISH, PAGE_TYPES, TrainingProfile
+from ..config import ENGLISH, TrainingProfile
 from ..functions import measures as me
 from ..functions import text as tx
 from ..functions.ngrams import counted_ngrams
@@ -19,7 +19,7 @@ from ..operators import linking as lk
 from ..operators import relatedness as rl
 from ..operators import titles as tt
 from ..operators import training as tr
-from .bridge import Star, Wiki, clean_sql, key_sql, table, with_ctes
+from .bridge import CTES, Star, Wiki, clean_sql, compared_sql, key_sql, table, with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -317,8 +317,6 @@ def lf_iaf_cosine(spark, sf_dir):
 
 
 def page_comparison_sql() -> str:
-    from .bridge import CTES, compared_sql
-
     CTES["compared_all"] = compared_sql("all_pairs")
     return "SELECT a, b, round(in_vector, 6) AS in_vector, round(out_vector, 6) AS out_vector, round(in_distance, 6) AS in_distance, round(out_distance, 6) AS out_distance, round(mean, 6) AS mean FROM compared_all"
 
@@ -372,8 +370,6 @@ def relatedness_to_context(spark, sf_dir):
 
 @query("SELECT doc_id, label, page_id, round(confidence, 6) AS confidence FROM soft_sense")
 def softmax_group(spark, sf_dir):
-    from pyspark.sql import Window
-
     scored = sense_features(Wiki(spark, sf_dir)).withColumn("score", lk.linear_score(lk.SENSE_WEIGHTS))
     return scored.select("doc_id", "label", "page_id", r(lk.softmax(F.col("score"), Window.partitionBy("doc_id", "label"))).alias("confidence"))
 
@@ -405,12 +401,10 @@ def other_topics(spark, sf_dir):
     return lk.other_topics(rolled_topics(Wiki(spark, sf_dir))).withColumn("weight", r("weight"))
 
 
-OTHERS = f"SELECT doc_id, page_id, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, page_id) AS place FROM (SELECT doc_id, page_id, avg_link_probability * normalized_occurrences AS w FROM topic)) WHERE place <= 25"
+OTHERS = "SELECT doc_id, page_id, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, page_id) AS place FROM (SELECT doc_id, page_id, avg_link_probability * normalized_occurrences AS w FROM topic)) WHERE place <= 25"
 
 
 def other_topic_sql() -> str:
-    from .bridge import CTES, compared_sql
-
     CTES["topic"] = TOPIC
     CTES["other"] = OTHERS
     CTES["topic_pair"] = "SELECT DISTINCT least(t.page_id, o.page_id) AS a, greatest(t.page_id, o.page_id) AS b FROM topic t JOIN other o ON o.doc_id = t.doc_id AND o.page_id <> t.page_id"
@@ -512,10 +506,8 @@ def group_statistics(spark, sf_dir):
 
 @query("SELECT doc_id, quality, ((row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || '-1'), doc_id) - 1) % 5)::BIGINT AS fold FROM labels")
 def stratified_folds(spark, sf_dir):
-    from pyspark.sql import functions as G
-
     rows = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return tr.stratified_folds(rows, "quality", G.struct(tr.sample_order(F.col("doc_id")), "doc_id"))
+    return tr.stratified_folds(rows, "quality", F.struct(tr.sample_order(F.col("doc_id")), "doc_id"))
 
 
 @query("SELECT DISTINCT source, (('0x' || substr(md5(source), 1, 8))::BIGINT % 5)::BIGINT AS fold FROM documents")
@@ -599,4 +591,3 @@ def streaming_labels(spark, sf_dir):
 
 
 SQL["streaming_labels"] = SQL["label_occurrence_stats"]
-assert set(SQL) <= set(QUERIES) and PAGE_TYPES

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from . import more
+from . import more  # noqa: F401  adds its queries as it is imported
 from .queries import QUERIES, SQL
 
-assert more.query  # its queries are added as it is imported
-
 
 def queries() -> dict:
     return dict(QUERIES)
