@@ -21,11 +21,11 @@ CHUNK = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
 #: A blank inside or at the end of a longer run of white space: such a text is cut by CHUNK, not by blanks.
 RUN = re.compile(f"[{WS}] ")
 #: Entries that a worker's caches may hold (about 200 bytes each), that of words and each of the others; once full a
-#: cache stays as it is, and what it does not hold is worked out each time. A word's prefix counts take more work and
-#: less memory than its ids, so more of them are held.
-WORDS, CACHE, PREFIXES = 400_000, 100_000, 800_000
-#: A word of Latin letters, perhaps with one mark behind it: nearly all words, and their pieces are plain.
-WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([,.;:!?])?").fullmatch
+#: cache stays as it is, and what it does not hold is worked out each time.
+WORDS, CACHE = 800_000, 100_000
+#: A word of Latin letters, perhaps with marks behind it: nearly all words, and their pieces are plain. An apostrophe
+#: may begin a piece of its own and ``<`` a special string, so they aren't among the marks.
+WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([,.;:!?#$%&*+=/()\[\]{}@~^|\"_-]{1,8})?").fullmatch
 BYTE_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -61,7 +61,8 @@ class Cache(dict):
 
 
 class Words(Cache):
-    """From a word behind a blank, given without it; a mark behind the word is looked up on its own."""
+    """From a word behind a blank, given without it; marks behind the word are looked up on their own, and what has
+    several of them isn't held as a whole: such words hardly ever come again."""
 
     most = WORDS
 
@@ -73,6 +74,8 @@ class Words(Cache):
             value = self.other(" " + key)
         elif m[2]:
             value = self[m[1]] + self.mark[m[2]]
+            if len(m[2]) > 1:
+                return value
         else:
             value = self.word(m[1])
         if len(key) <= 64 and len(self) < self.most:
@@ -116,7 +119,9 @@ class Encoder:
         if self.byte_level:
             return self.of_piece(" " + word)
         low = word.lower()
-        return self.of_piece(low) if WORD(low) else self.of_chunk(" " + word)
+        if low != word:
+            return self.after_blank[low] if WORD(low) else self.of_chunk(" " + word)
+        return self.of_piece(low)
 
     def of_chunk(self, chunk: str) -> bytes:
         if self.byte_level:
@@ -180,7 +185,6 @@ class Prefixes(Encoder):
         self.pair = Cache(self.fits)
         self.counts = Cache(self.count_piece)
         self.after_blank = Words(self.of_word, self.of_chunk, self.of_chunk)
-        self.after_blank.most = PREFIXES
         self.chunks = Cache(self.of_chunk)
         self.runs = re.compile(f"([{WS}]*)([^{WS}]*)")
 
