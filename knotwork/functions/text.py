@@ -11,7 +11,9 @@ from ..config import PAGE_TYPES, PLACEHOLDER
 TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^ \t\n\r\f]"
 #: A token or a run of blanks: the pieces of a line, put together, are the line.
 PIECE = r"[\p{L}\p{M}]+|\p{N}+|[ \t\n\r\f]+|[^ \t\n\r\f]"
-WIKI_LINK = r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]"
+#: Innermost parentheses with a placeholder, and the clean-up's patterns with what they become, in order.
+MARKED = rf"\([^()]*{PLACEHOLDER}[^()]*\)"
+CLEANUP = (("[ \t]+", " "), ("(?m)^ +| +$", ""), ("\n{3,}", "\n\n"), (r"(?m)(\n\s*){3,}", "\n\n"), (r"^\s+|\s+$", ""))
 
 
 def clean_anchor(anchor: Column, prefix: str = ":en:") -> Column:
@@ -40,13 +42,14 @@ def letters_digits(text: Column) -> Column:
 
 def without_marked_parentheticals(text: Column) -> Column:
     """Drops innermost parentheses that hold a placeholder, then all placeholders."""
-    return F.regexp_replace(F.regexp_replace(text, rf"\([^()]*{PLACEHOLDER}[^()]*\)", ""), PLACEHOLDER, "")
+    return F.regexp_replace(F.regexp_replace(text, MARKED, ""), PLACEHOLDER, "")
 
 
 def clean_text(text: Column) -> Column:
-    out = F.regexp_replace(without_marked_parentheticals(text), "[ \t]+", " ")
-    out = F.regexp_replace(F.regexp_replace(out, "(?m)^ +| +$", ""), "\n{3,}", "\n\n")
-    return F.regexp_replace(F.regexp_replace(out, r"(?m)(\n\s*){3,}", "\n\n"), r"^\s+|\s+$", "")
+    out = without_marked_parentheticals(text)
+    for pattern, new in CLEANUP:
+        out = F.regexp_replace(out, pattern, new)
+    return out
 
 
 def capitalize_first(text: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from ..config import PLACEHOLDER
 from .ngrams import sentences
+from .text import CLEANUP, MARKED
 
 SCHEMA = "snippet struct<first_paragraph: string, first_sentence: string>, text string, links array<struct<target: string, anchor_text: string, left: int, right: int>>, list_items int"
 SNIPPET = pa.struct([("first_paragraph", pa.string()), ("first_sentence", pa.string())])
@@ -187,10 +188,15 @@ def lines(text: str) -> tuple[str, int]:
     return plain("\n".join(out)), items
 
 
+def unmarked(text: str) -> str:
+    return re.sub(MARKED, "", text).replace(PLACEHOLDER, "")
+
+
 def clean(text: str) -> str:
-    text = re.sub(rf"\([^()]*{PLACEHOLDER}[^()]*\)", "", text).replace(PLACEHOLDER, "")
-    text = re.sub(r"(?m)^ +| +$", "", re.sub("[ \t]+", " ", text))
-    return re.sub(r"(?:\n\s*){3,}", "\n\n", text).strip()
+    text = unmarked(text)
+    for pattern, new in CLEANUP:
+        text = re.sub(pattern, new, text)
+    return text
 
 
 def snippet(text: str) -> tuple[str | None, str | None]:
@@ -210,7 +216,7 @@ def parse(markup: str) -> dict | None:
     try:
         parts = tree(markup)
         text, items = lines(flat(parts))
-        excerpt = re.sub(rf"\([^()]*{PLACEHOLDER}[^()]*\)", "", lines(flat(parts, captions=False))[0]).replace(PLACEHOLDER, "")
+        excerpt = unmarked(lines(flat(parts, captions=False))[0])
         paragraph, sentence = snippet(excerpt)
         return {"snippet": {"first_paragraph": paragraph, "first_sentence": sentence}, "text": clean(text), "links": [x._asdict() for x in links(parts, markup)], "list_items": items}
     except (ValueError, RecursionError):

@@ -1,5 +1,6 @@
 """Operators, sources, the mining phases and the queries' twins."""
 
+import functools
 import json
 import math
 import random
@@ -18,7 +19,7 @@ from knotwork.operators import linking as lk
 from knotwork.operators import relatedness as rl
 from knotwork.operators import titles as tt
 from knotwork.operators import training as tr
-from knotwork.plans import registry
+from knotwork.plans import bridge, more, queries, registry
 from knotwork.sources import dump, tables
 from knotwork.storage import new_path
 
@@ -39,6 +40,16 @@ def duck(sf_dir):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_wiki():
+    """The queries share what they derive from the pages; each still runs its own operators."""
+    with pytest.MonkeyPatch.context() as patch:
+        shared = functools.cache(bridge.Wiki)
+        patch.setattr(queries, "Wiki", shared)
+        patch.setattr(more, "Wiki", shared)
+        yield
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     own = registry.queries()[name](spark, sf_dir)
