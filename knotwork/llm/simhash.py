@@ -231,8 +231,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     text = own.columns[docs.columns.index("text")]
     marked = own.withColumn("_h", F.xxhash64(*own.columns))
     found = stored(fingerprints(marked, key, text, ("_h",)), "fingerprints")
-    grouped = found.join(classes(found, key), "fp")
     first = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("id"), F.col("_h").alias("h"))
-    keep = grouped.groupBy("root").agg(F.min(first).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.h").alias("_hash"))
+    best = found.groupBy("fp").agg(F.min(first).alias("x"))  # copies meet as one row of each task
+    keep = best.join(classes(found, key), "fp").groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.id").alias("_id"), F.col("x.h").alias("_hash"))
     kept = marked.join(keep, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
     return kept.dropDuplicates([key, "_h"]).select(own.columns).toDF(*docs.columns)
