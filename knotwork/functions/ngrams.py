@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MAX_NGRAM_TOKENS
+from ..storage import spread
 from .text import TOKEN
 
 #: Abbreviations whose period ends no sentence.
@@ -164,7 +165,7 @@ def candidates(docs: DataFrame, longest: int = MAX_NGRAM_TOKENS, known=None, id_
                     columns = [pa.array(c, f.type) for c, f in zip(zip(*found), SCHEMA)]
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(found), batch.column(0).type), *columns], names=[id_col, *SCHEMA.names])
 
-    picked = docs.select(id_col, F.col(text_col).cast("string"))
+    picked = spread(docs.select(id_col, F.col(text_col).cast("string")))
     return picked.mapInArrow(run, f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, {NGRAM}")
 
 
@@ -183,5 +184,5 @@ def counted_ngrams(docs: DataFrame, longest: int = MAX_NGRAM_TOKENS, known=None,
                 counts += found.values()
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), pa.array(contents, pa.string()), pa.array(counts, pa.int64())], names=[id_col, "content", "n"])
 
-    picked = docs.select(id_col, F.col(text_col).cast("string"))
+    picked = spread(docs.select(id_col, F.col(text_col).cast("string")))
     return picked.mapInArrow(run, f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, content string, n long")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..config import PLACEHOLDER
+from ..storage import spread
 from .ngrams import sentences
 from .text import CLEANUP, MARKED
 
@@ -234,5 +235,5 @@ def parsed(pages: DataFrame) -> DataFrame:
                 get = lambda k: [f[k] if f else None for f in found]  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(get("snippet"), SNIPPET), pa.array(get("text"), pa.string()), pa.array(get("links"), pa.list_(LINK)), pa.array(get("list_items"), pa.int32())], names=["id", "wikitext", "snippet", "text", "links", "list_items"])
 
-    picked = pages.select("id", "wikitext")
+    picked = spread(pages.select("id", "wikitext"))
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, wikitext string, {SCHEMA}")

@@ -28,3 +28,12 @@ def stored(df: DataFrame, kind: str = "rows") -> DataFrame:
     path = new_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores. A small table comes in one file or few, and
+    the Python work on it would leave most cores idle; a large one is left as it is, and so is what a shuffle made."""
+    plan, cores = df._jdf.queryExecution().executedPlan(), df.sparkSession.sparkContext.defaultParallelism
+    if plan.nodeName() == "AdaptiveSparkPlan" or plan.execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
