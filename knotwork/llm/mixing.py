@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tokens import encoder
-from .util import numbered, stored, table
+from .util import numbered, spread, stored, table
 
 VOCABULARY, MAX_REPEATS, SEED = "byte_bpe_50k.json", 1.5, 7
 #: Exponents tried in a round, rounds, and documents of a block of the permutation, about.
@@ -42,7 +42,7 @@ def token_counts(df: DataFrame, keep: list[str], text_col: str, vocabulary: str
             n = [len(ids(t)) // 4 for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
-    picked = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    picked = spread(df.select(*keep, F.col(text_col).cast("string").alias("_text")))
     return picked.mapInArrow(run, ", ".join(f"`{x}` {picked.schema[x].dataType.simpleString()}" for x in keep) + ", n_tokens long")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tokens import encoder
-from .util import cut, table
+from .util import cut, spread, table
 
 VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k.json", 2, 1024
 PIECE = "piece int, start long, length long, ids_crc32 long, task int, nth long"
@@ -59,7 +59,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                     at, i, size = at + size, i + 1, capacity
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), task, np.int32)), pa.array(nth, pa.int64())], names=[id_col, *(x.split()[0] for x in PIECE.split(", "))])
 
-    picked = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    picked = spread(df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")))
     kind = picked.schema[id_col].dataType.simpleString()
     return picked.mapInArrow(run, f"`{id_col}` {kind}, {PIECE}")
 

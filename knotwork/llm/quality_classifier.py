@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tokens import forget
-from .util import numbered, table
+from .util import numbered, spread, table
 from .words import SPACE, offsets, raw_texts, slices
 
 TRAIN_ROWS, TRAIN_LINES, STEPS = 3000, 200, 200
@@ -264,7 +264,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], pa.array(model.scores(texts[a:b]), pa.float64())], names=[*names, "score"])
 
     names = [id_col, *keep]
-    picked = docs.select(*(F.col(x) for x in names), F.col(text_col).cast("string").alias("_text"))
+    picked = spread(docs.select(*(F.col(x) for x in names), F.col(text_col).cast("string").alias("_text")))
     return picked.mapInArrow(run, ", ".join(f"`{x}` {picked.schema[x].dataType.simpleString()}" for x in names) + ", score double")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tokens import forget
-from .util import numbered, table
+from .util import numbered, spread, table
 from .words import SPACE, counts, offsets, raw_texts, slices, word_ids
 
 SYMBOLS = "#*$%&|<>"
@@ -143,7 +143,7 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *measure(texts[a:b], min_repeat, spans)], names=[*names, *OUT.names])
 
     names = [id_col, *keep]
-    picked = df.select(*(F.col(x) for x in names), F.col(text_col).cast("string").alias("_text"))
+    picked = spread(df.select(*(F.col(x) for x in names), F.col(text_col).cast("string").alias("_text")))
     kinds = ", ".join(f"`{x}` {picked.schema[x].dataType.simpleString()}" for x in names)
     return picked.mapInArrow(run, f"{kinds}, {DDL}")
 
@@ -168,13 +168,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: What lies in a repeat of 8 words or more lies in a window of 8 words that stands there twice, and a repeat of over
 #: 200 words is a window of 201 words that does.
 SQL = r"""
-WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 d AS (SELECT *, row_number() OVER () AS k FROM t),
 p AS MATERIALIZED (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 x AS (SELECT k, i, n, md5(array_to_string(w[i:i + n - 1], ' ')) AS g FROM p, (VALUES (3), (8), (201)) s(n) WHERE i + n - 1 <= len(w)),
 y AS MATERIALIZED (SELECT k, i, n FROM (SELECT *, count(*) OVER (PARTITION BY k, n, g) AS c FROM x) WHERE c > 1),
 c AS (SELECT k, n, count(*) AS m FROM (SELECT DISTINCT k, n, i + unnest(range(0, n)) AS j FROM y WHERE n < 201) GROUP BY k, n),
-l AS (SELECT k, count(*) - count(DISTINCT line) AS m FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY k),
+l AS (SELECT k, count(*) - count(DISTINCT line) AS m FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY k),
 f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.m, 0)::BIGINT AS n_dup_lines,
   coalesce(c3.m, 0)::BIGINT AS n_repeat_words, coalesce(c8.m, 0)::BIGINT AS covered_words, d.k IN (SELECT k FROM y WHERE n = 201) AS long
   FROM d LEFT JOIN l ON l.k = d.k LEFT JOIN c c3 ON c3.k = d.k AND c3.n = 3 LEFT JOIN c c8 ON c8.k = d.k AND c8.n = 8)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tokens import forget
-from .util import dealt_groups, numbered, partitions, stored, table
+from .util import dealt_groups, numbered, partitions, spread, stored, table
 from .words import raw_texts
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -74,7 +74,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*names, "fp"])
 
     names = [id_col, *keep]
-    picked = df.select(*(F.col(x) for x in names), F.col(text_col).cast("string").alias("_text"))
+    picked = spread(df.select(*(F.col(x) for x in names), F.col(text_col).cast("string").alias("_text")))
     return picked.mapInArrow(run, ", ".join(f"`{x}` {picked.schema[x].dataType.simpleString()}" for x in names) + ", fp long")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tokens import prefixes
-from .util import table
+from .util import spread, table
 
 VOCABULARY = "byte_bpe_50k.json"
 OUT = "n_bytes long, n_tokens long, prefix_store binary, cuts array<long>"
@@ -43,7 +43,7 @@ def prefix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cuts.append([longest_within(steps, b) for b in budgets])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(stores, pa.binary()), pa.array(cuts, pa.list_(pa.int64()))], names=[id_col, "n_bytes", "n_tokens", "prefix_store", "cuts"])
 
-    picked = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    picked = spread(df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")))
     kind = picked.schema[id_col].dataType.simpleString()
     return picked.mapInArrow(run, f"`{id_col}` {kind}, {OUT}")
 

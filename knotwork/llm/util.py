@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import new_path, shared_dir, stored
+from ..storage import new_path, shared_dir, spread, stored
 
-__all__ = ["cut", "dealt_groups", "new_path", "numbered", "partitions", "shared_dir", "stored", "table"]
+__all__ = ["cut", "dealt_groups", "new_path", "numbered", "partitions", "shared_dir", "spread", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
