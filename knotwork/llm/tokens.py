@@ -184,6 +184,7 @@ class Prefixes(Encoder):
         self.states: dict[bytes, tuple] = {}
         self.pair = Cache(self.fits)
         self.counts = Cache(self.count_piece)
+        self.pair.most = self.counts.most = WORDS  # both are short, and dear to work out again
         self.after_blank = Words(self.of_word, self.of_chunk, self.of_chunk)
         self.chunks = Cache(self.of_chunk)
         self.runs = re.compile(f"([{WS}]*)([^{WS}]*)")
