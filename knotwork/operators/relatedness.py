@@ -24,18 +24,30 @@ def common_links(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
     """(a, b, dir, common, dot, square_a, square_b) of pairs (a, b) that share links."""
     of_a = weighted.select(F.col("page_id").alias("a"), "dir", "link", F.col("w").alias("wa"))
     of_b = weighted.select(F.col("page_id").alias("b"), "dir", "link", F.col("w").alias("wb"))
-    met = pairs.select("a", "b").join(of_a, "a").join(of_b, ["b", "dir", "link"])
+    return link_sums(pairs.select("a", "b").join(of_a, "a").join(of_b, ["b", "dir", "link"]))
+
+
+def all_common_links(weighted: DataFrame) -> DataFrame:
+    """common_links of every pair a < b that shares a link: the links are joined, and no pairs are asked for."""
+    of_a = weighted.select(F.col("page_id").alias("a"), "dir", "link", F.col("w").alias("wa"))
+    of_b = weighted.select(F.col("page_id").alias("b"), "dir", "link", F.col("w").alias("wb"))
+    return link_sums(of_a.join(of_b, ["dir", "link"]).where("a < b"))
+
+
+def link_sums(met: DataFrame) -> DataFrame:
     sums = [F.count("*").alias("common"), F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.sum(F.col("wa") * F.col("wa")).alias("square_a"), F.sum(F.col("wb") * F.col("wb")).alias("square_b")]
     return met.groupBy("a", "b", "dir").agg(*sums)
 
 
-def compare(pairs: DataFrame, weighted: DataFrame, sizes: DataFrame, n_articles: int) -> DataFrame:
-    """(a, b, in_vector, out_vector, in_distance, out_distance, mean) of distinct pairs a < b."""
+def compare(pairs: DataFrame | None, weighted: DataFrame, sizes: DataFrame, n_articles: int) -> DataFrame:
+    """(a, b, in_vector, out_vector, in_distance, out_distance, mean) of distinct pairs a < b; of all that share a link
+    where none are given."""
     lowest = me.lowest_similarity(n_articles)
-    shared = common_links(pairs, weighted)
+    shared = all_common_links(weighted) if pairs is None else common_links(pairs, weighted)
     size = lambda side: sizes.groupBy(F.col("page_id").alias(side)).agg(*(F.max(F.when(F.col("dir") == d, F.col("size"))).alias(f"{d}_{side}") for d in ("in", "out")))
     flat = shared.groupBy("a", "b").agg(*(F.max(F.when(F.col("dir") == d, F.struct("common", "dot", "square_a", "square_b"))).alias(d) for d in ("in", "out")))
-    rows = pairs.select("a", "b").join(flat, ["a", "b"], "left").join(size("a"), "a", "left").join(size("b"), "b", "left")
+    rows = flat if pairs is None else pairs.select("a", "b").join(flat, ["a", "b"], "left")
+    rows = rows.join(size("a"), "a", "left").join(size("b"), "b", "left")
 
     def similarity(d: str):
         n = lambda c: F.coalesce(c, F.lit(0))

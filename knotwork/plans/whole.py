@@ -1,0 +1,46 @@
+"""Queries over whole tables, beside those whose SQL asks for a part of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import measures as me
+from ..operators import relatedness as rl
+from .bridge import CTES, Wiki, compared_sql
+from .queries import query, r
+
+# relatedness: every pair of pages that shares a link; of all other pairs the measures are those of no common link
+
+
+def linked_sql() -> str:
+    CTES["linked_pair"] = "SELECT DISTINCT x.page_id AS a, y.page_id AS b FROM weighted x JOIN weighted y ON y.dir = x.dir AND y.link = x.link AND x.page_id < y.page_id"
+    CTES["compared_linked"] = compared_sql("linked_pair")
+    return "SELECT a, b, round(in_vector, 6) AS in_vector, round(out_vector, 6) AS out_vector, round(in_distance, 6) AS in_distance, round(out_distance, 6) AS out_distance, round(mean, 6) AS mean FROM compared_linked"
+
+
+@query("SELECT x.page_id AS a, y.page_id AS b, x.dir, count(*)::BIGINT AS common FROM weighted x JOIN weighted y ON y.dir = x.dir AND y.link = x.link AND x.page_id < y.page_id GROUP BY ALL")
+def whole_common_links(spark, sf_dir):
+    return rl.all_common_links(Wiki(spark, sf_dir).vectors[0]).select("a", "b", "dir", "common")
+
+
+@query("SELECT x.page_id AS a, y.page_id AS b, x.dir, round(sum(x.w * y.w) / sqrt(sum(x.w * x.w) * sum(y.w * y.w)), 6) AS cosine FROM weighted x JOIN weighted y ON y.dir = x.dir AND y.link = x.link AND x.page_id < y.page_id GROUP BY ALL HAVING sum(x.w * x.w) > 0 AND sum(y.w * y.w) > 0")
+def whole_lf_iaf_cosine(spark, sf_dir):
+    found = rl.all_common_links(Wiki(spark, sf_dir).vectors[0]).where("square_a > 0 and square_b > 0")
+    return found.select("a", "b", "dir", r(me.cosine(F.col("dot"), F.col("square_a"), F.col("square_b"))).alias("cosine"))
+
+
+@query(linked_sql())
+def whole_page_comparison(spark, sf_dir):
+    wiki = Wiki(spark, sf_dir)
+    out = rl.compare(None, *wiki.vectors, wiki.n_articles)
+    return out.select("a", "b", *(r(c).alias(c) for c in (*rl.MEASURES, "mean")))
+
+
+@query("SELECT a, b, round(in_distance, 6) AS in_distance, round(out_distance, 6) AS out_distance FROM compared_linked")
+def whole_link_distance(spark, sf_dir):
+    return whole_page_comparison(spark, sf_dir).select("a", "b", "in_distance", "out_distance")
+
+
+@query("SELECT dir, page_id, link, round(w, 6) AS w FROM weighted")
+def whole_link_weights(spark, sf_dir):
+    return Wiki(spark, sf_dir).vectors[0].withColumn("w", r("w"))

@@ -1,0 +1,44 @@
+"""Queries over whole tables: what lies beyond the parts that the other queries ask for."""
+
+import functools
+
+import duckdb
+import pytest
+
+from knotwork.plans import bridge, registry, whole
+
+
+@pytest.fixture(scope="module")
+def wide_dir(spark, tmp_path_factory):
+    """A table of 120 pages; page k links to the titles of the two after it, so that there are many of an id over 80."""
+    path = str(tmp_path_factory.mktemp("wide"))
+    name = lambda k: f"p{k % 120:03d}"
+    html = lambda k: "".join(f'<a href="/{name(k + i)}">word {name(k + i)}</a>' for i in (1, 2))
+    spark.createDataFrame([(k, f"https://x.org/{k}", html(k)) for k in range(120)], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([(1, "word p001 and word p002")], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+@pytest.fixture(scope="module")
+def wide_wiki(spark, wide_dir):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(whole, "Wiki", functools.cache(bridge.Wiki))
+        yield
+
+
+@pytest.mark.parametrize("name", ["whole_common_links", "whole_lf_iaf_cosine", "whole_page_comparison", "whole_link_distance", "whole_link_weights"])
+def test_pages_beyond_80_are_kept(spark, wide_dir, wide_wiki, name):
+    con = duckdb.connect()
+    for t in ("pages", "documents"):
+        con.execute(f"create view {t} as select * from '{wide_dir}/{t}.parquet/*.parquet'")
+    own = registry.queries()[name](spark, wide_dir)
+    got = con.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in got.description]
+    plain = lambda rows: sorted(tuple(round(float(x), 5) if isinstance(x, float) else x for x in row) for row in rows)
+    found = plain(own.select(*names).collect())
+    assert found == plain(got.fetchall())
+    ids = {row[names.index("page_id" if "page_id" in names else "b")] for row in found}
+    assert {81, 100, 119} <= ids
+    if name in ("whole_common_links", "whole_link_distance"):
+        pairs = {(row[names.index("a")], row[names.index("b")]) for row in found}
+        assert pairs == {(min(k, (k + 1) % 120), max(k, (k + 1) % 120)) for k in range(120)}
