@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import measures as me
+from ..operators import graph as gr
 from ..operators import relatedness as rl
-from .bridge import CTES, Wiki, compared_sql
+from .bridge import CTES, CUSTOMER, NATION, Star, Wiki, compared_sql
 from .queries import query, r
 
 # relatedness: every pair of pages that shares a link; of all other pairs the measures are those of no common link
@@ -44,3 +45,17 @@ def whole_link_distance(spark, sf_dir):
 @query("SELECT dir, page_id, link, round(w, 6) AS w FROM weighted")
 def whole_link_weights(spark, sf_dir):
     return Wiki(spark, sf_dir).vectors[0].withColumn("w", r("w"))
+
+
+# categories: of all articles among the customers
+
+
+@query(
+    "SELECT id AS category_id, title, round(f / n * ln(f + 1), 6) AS score, f::BIGINT AS frequency FROM (SELECT p.id, p.title, count(*) AS f FROM link JOIN page p ON p.id = destination WHERE p.page_type = 2 AND source IN (SELECT 2000000000 + c_custkey FROM customer) GROUP BY ALL), (SELECT count(*) AS n FROM customer) ORDER BY f / n * ln(f + 1) DESC, id LIMIT 20"
+)
+def whole_related_categories(spark, sf_dir):
+    """The top 20 is the query itself; the ids asked for are all customers, and all nations, which are no articles."""
+    star = Star(spark, sf_dir)
+    ids = star.of("customer").select((F.lit(CUSTOMER) + F.col("c_custkey")).alias("id"))
+    ids = ids.unionByName(star.of("nation").select((F.lit(NATION) + F.col("n_nationkey")).alias("id")))
+    return gr.related_categories(ids, star.page, star.link).withColumn("score", r("score"))

@@ -4,7 +4,9 @@ import functools
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from knotwork.plans import bridge, registry, whole
 
 
@@ -42,3 +44,10 @@ def test_pages_beyond_80_are_kept(spark, wide_dir, wide_wiki, name):
     if name in ("whole_common_links", "whole_link_distance"):
         pairs = {(row[names.index("a")], row[names.index("b")]) for row in found}
         assert pairs == {(min(k, (k + 1) % 120), max(k, (k + 1) % 120)) for k in range(120)}
+
+
+def test_all_customers_count(spark, sf_dir):
+    found = {r["title"]: r["frequency"] for r in entry.entry(spark).collect()}
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").join(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey"))
+    counts = {r["n_name"]: r["count"] for r in customers.groupBy("n_name").count().collect()}
+    assert len(found) == min(20, len(counts)) and all(counts[k] == v for k, v in found.items())
