@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import measures as me
+from ..functions import text as tx
+from ..functions.ngrams import counted_ngrams
 from ..operators import graph as gr
 from ..operators import relatedness as rl
-from .bridge import CTES, CUSTOMER, NATION, Star, Wiki, compared_sql
+from .bridge import CTES, CUSTOMER, NATION, Star, Wiki, compared_sql, table
 from .queries import query, r
 
 # relatedness: every pair of pages that shares a link; of all other pairs the measures are those of no common link
@@ -59,3 +61,18 @@ def whole_related_categories(spark, sf_dir):
     ids = star.of("customer").select((F.lit(CUSTOMER) + F.col("c_custkey")).alias("id"))
     ids = ids.unionByName(star.of("nation").select((F.lit(NATION) + F.col("n_nationkey")).alias("id")))
     return gr.related_categories(ids, star.page, star.link).withColumn("score", r("score"))
+
+
+# n-grams of up to ten tokens; no SQL twins, tests hold them against plain Python
+
+
+@query()
+def whole_ngrams_line(spark, sf_dir):
+    found = counted_ngrams(table(spark, sf_dir, "documents"))
+    return found.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"), F.max("content").alias("last"))
+
+
+@query()
+def whole_case_context(spark, sf_dir):
+    found = counted_ngrams(table(spark, sf_dir, "documents")).select("content").distinct()
+    return found.select("content", tx.case_of(tx.tokens(F.col("content"))).alias("case_context"))

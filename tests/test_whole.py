@@ -4,6 +4,7 @@ import functools
 
 import duckdb
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -51,3 +52,31 @@ def test_all_customers_count(spark, sf_dir):
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").join(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey"))
     counts = {r["n_name"]: r["count"] for r in customers.groupBy("n_name").count().collect()}
     assert len(found) == min(20, len(counts)) and all(counts[k] == v for k, v in found.items())
+
+
+def runs(text, longest):
+    """Every run of up to ``longest`` tokens of each line, by plain Python."""
+    for line in text.split("\n"):
+        at = [m.span() for m in regex.finditer(r"[\p{L}\p{M}]+|\p{N}+|[^ \t\n\r\f]", line)]
+        for i in range(len(at)):
+            for j in range(i, min(i + longest, len(at))):
+                yield line[at[i][0] : at[j][1]]
+
+
+def case(content):
+    words = [t for t in regex.findall(r"[\p{L}\p{M}]+|\p{N}+|[^ \t\n\r\f]", content) if regex.search(r"\p{L}", t)]
+    for name, pattern in (("UPPER", r"\p{Lu}+"), ("LOWER", r"\p{Ll}+"), ("UPPER_FIRST", r"\p{Lu}+|\p{Lu}\p{Ll}*")):
+        if words and all(regex.fullmatch(pattern, t) for t in words):
+            return name
+    return "MIXED"
+
+
+def test_ngrams_of_ten_tokens(spark, tmp_path):
+    texts = {1: "One two THREE four five six seven eight nine ten eleven, twelve.", 2: "a a a a a a a a a a a a\nNEW YORK", 3: "", 4: "Über 12 Ça va"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: list(runs(t, 10)) for k, t in texts.items()}
+    lines = {r["doc_id"]: (r["n"], r["n_distinct"], r["last"]) for r in registry.queries()["whole_ngrams_line"](spark, str(tmp_path)).collect()}
+    assert lines == {k: (len(v), len(set(v)), max(v, key=lambda x: x.encode())) for k, v in want.items() if v}
+    cases = {r["content"]: r["case_context"] for r in registry.queries()["whole_case_context"](spark, str(tmp_path)).collect()}
+    assert cases == {x: case(x) for v in want.values() for x in v}
+    assert "One two THREE four five six seven eight nine ten" in cases
