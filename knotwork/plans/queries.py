@@ -383,9 +383,9 @@ def resolve_best_sense(spark, sf_dir):
 TOPIC = "SELECT doc_id, page_id, ln(sum(n * n) + 1) AS normalized_occurrences, max(confidence) AS max_confidence, sum(confidence * n) / sum(n) AS avg_confidence, avg(link_probability) AS avg_link_probability, max(link_probability) AS max_link_probability FROM (SELECT doc_id, label, page_id, confidence, link_probability, n FROM best_sense JOIN wlabel USING (label) JOIN occurrence USING (doc_id, label) WHERE link_probability > 0.02) GROUP BY ALL"
 
 
-def rolled_topics(wiki: Wiki) -> DataFrame:
+def rolled_topics(wiki: Wiki, best: DataFrame | None = None) -> DataFrame:
     """Topics from counted labels: every occurrence is a span, so a label's matches count once for each of them."""
-    best = lk.best_senses(sense_features(wiki), lk.linear_score(lk.SENSE_WEIGHTS))
+    best = lk.best_senses(sense_features(wiki), lk.linear_score(lk.SENSE_WEIGHTS)) if best is None else best
     rows = best.join(wiki.labels.where("link_probability > 0.02").select("label", "link_probability"), "label").join(wiki.occurrences, ["doc_id", "label"])
     return rows.groupBy("doc_id", "page_id").agg(F.log(F.sum(F.col("n") * F.col("n")) + 1).alias("normalized_occurrences"), F.max("confidence").alias("max_confidence"), (F.sum(F.col("confidence") * F.col("n")) / F.sum("n")).alias("avg_confidence"), F.avg("link_probability").alias("avg_link_probability"), F.max("link_probability").alias("max_link_probability"))
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import MIN_SENSE_TRAIN
 from ..functions import measures as me
 from ..functions import text as tx
 from ..functions.ngrams import counted_ngrams
+from ..operators import context as cx
 from ..operators import graph as gr
+from ..operators import linking as lk
 from ..operators import relatedness as rl
+from ..operators import training as tr
 from .bridge import CTES, CUSTOMER, NATION, Star, Wiki, compared_sql, table
-from .queries import query, r
+from .queries import query, r, rolled_topics
 
 # relatedness: every pair of pages that shares a link; of all other pairs the measures are those of no common link
 
@@ -76,3 +81,49 @@ def whole_ngrams_line(spark, sf_dir):
 def whole_case_context(spark, sf_dir):
     found = counted_ngrams(table(spark, sf_dir, "documents")).select("content").distinct()
     return found.select("content", tx.case_of(tx.tokens(F.col("content"))).alias("case_context"))
+
+
+# links and senses with the relatedness measures at the production thresholds; no SQL twins either
+
+
+def against_context(wiki: Wiki, pages: DataFrame, context: DataFrame, by: str) -> DataFrame:
+    """Measures, both ways, of pages and the pages of their contexts."""
+    pairs = pages.select(by, F.col("page_id").alias("x")).join(context.select(by, F.col("page_id").alias("y")), by).where("x <> y")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return wiki.once(f"against_context_{by}", lambda: rl.both_ways(rl.compare(pairs, *wiki.vectors, wiki.n_articles)))
+
+
+def related_topics(wiki: Wiki) -> DataFrame:
+    """Topics with their relatedness to the context and to the heaviest others."""
+    pages = wiki.doc_labels.join(wiki.senses, "label").select("doc_id", F.col("destination").alias("page_id")).distinct()
+    compared = against_context(wiki, pages, wiki.context, "doc_id")
+    best = wiki.once("whole_best", lambda: lk.best_senses(lk.sense_candidates(wiki.doc_labels, wiki.senses, wiki.context, compared), lk.linear_score(lk.SENSE_WEIGHTS)))
+    related = rl.to_context(best.select("doc_id", "page_id").distinct(), wiki.context, compared)
+    found = rolled_topics(wiki, best).join(related.select("doc_id", "page_id", F.col("relatedness").alias("relatedness_to_context")), ["doc_id", "page_id"], "left")
+    return lk.with_others(wiki.once("whole_topics", lambda: found.fillna(0.0, ["relatedness_to_context"])), *wiki.vectors, wiki.n_articles)
+
+
+@query()
+def whole_likely_links(spark, sf_dir):
+    from ..api import likely_links as cut
+
+    weight = me.topic_weight(F.col("avg_link_probability"), F.col("normalized_occurrences"))
+    rows = cut(lk.predicted(related_topics(Wiki(spark, sf_dir))))
+    return rows.select("doc_id", "page_id", r(weight).alias("weight"), *(r(c).alias(c) for c in ("relatedness_to_context", "relatedness_to_others", "prediction")))
+
+
+def training_context(wiki: Wiki) -> DataFrame:
+    """Contexts of the pages from the labels of their own links."""
+    own = wiki.link.select("source", F.col("anchor_text").alias("label")).distinct().join(wiki.usable.select("label"), "label", "left_semi")
+    senses = gr.commonness(wiki.raw_senses, MIN_SENSE_TRAIN)
+    return wiki.once("training_context", lambda: cx.contexts(own, wiki.labels, senses, gr.in_degree(wiki.link), cx.date_labels(wiki.spark), *wiki.vectors, wiki.n_articles, MIN_SENSE_TRAIN, by="source"))
+
+
+@query()
+def whole_wsd_examples(spark, sf_dir):
+    wiki = Wiki(spark, sf_dir)
+    senses, context = wiki.once("training_senses", lambda: gr.commonness(wiki.raw_senses, MIN_SENSE_TRAIN)), training_context(wiki)
+    pages = wiki.link.select("source", F.col("anchor_text").alias("label")).distinct().join(senses, "label").select("source", F.col("destination").alias("page_id")).distinct()
+    related = rl.to_context(pages, context, against_context(wiki, pages, context, "source"), "source")
+    out = tr.sense_examples(wiki.link, senses, related, cx.quality(context, "source"), MIN_SENSE_TRAIN)
+    return out.select("source", "label", "link_destination", "page_id", *(r(c).alias(c) for c in ("commonness", *rl.MEASURES, "quality")), "is_correct")

@@ -1,6 +1,7 @@
 """Queries over whole tables: what lies beyond the parts that the other queries ask for."""
 
 import functools
+import math
 
 import duckdb
 import pytest
@@ -8,7 +9,9 @@ import regex
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from knotwork.operators import relatedness as rl
 from knotwork.plans import bridge, registry, whole
+from test_operators import brute_compare
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +83,37 @@ def test_ngrams_of_ten_tokens(spark, tmp_path):
     cases = {r["content"]: r["case_context"] for r in registry.queries()["whole_case_context"](spark, str(tmp_path)).collect()}
     assert cases == {x: case(x) for v in want.values() for x in v}
     assert "One two THREE four five six seven eight nine ten" in cases
+
+
+def test_links_and_senses_with_relatedness(spark, tmp_path, monkeypatch):
+    """Pages link to the three after them; 59 link "mercury" to page 1, and one to page 2: a sense of 1 in 60."""
+    monkeypatch.setattr(whole, "Wiki", functools.cache(bridge.Wiki))
+    a = lambda k, text: f'<a href="/p{k % 120:03d}">{text}</a>'
+    html = lambda k: "".join(a(k + i, f"topic{(k + i) % 120:03d}") for i in (1, 2, 3)) + (a(1, "mercury") if k < 60 else a(2, "mercury") if k == 61 else "")
+    spark.createDataFrame([(k, "u", html(k)) for k in range(120)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, "mercury and topic005 topic006 topic007 topic020"), (2, "topic030 topic031")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wiki = whole.Wiki(spark, str(tmp_path))
+    links, n = [(r["source"], r["destination"]) for r in wiki.link.collect()], wiki.n_articles
+    compare = functools.cache(lambda a, b: brute_compare(links, a, b, n))
+    context = {}
+    for r in wiki.context.collect():
+        context.setdefault(r["doc_id"], {})[r["page_id"]] = r["weight"]
+    rows = registry.queries()["whole_likely_links"](spark, str(tmp_path)).collect()
+    topics = {(r["doc_id"], r["page_id"]): r for r in whole.related_topics(wiki).collect()}
+    heavy = {d: {p: r["avg_link_probability"] * r["normalized_occurrences"] for (e, p), r in topics.items() if e == d} for d, _ in topics}
+    mean = lambda p, others: sum(w * sum(compare(p, q)) / 4 for q, w in others.items() if q != p) / len(others)
+    for r in rows:
+        t = topics[r["doc_id"], r["page_id"]]
+        to_context, to_others = mean(r["page_id"], context[r["doc_id"]]), mean(r["page_id"], heavy[r["doc_id"]])
+        score = 3 * t["avg_link_probability"] + 2 * to_context + 2 * to_others + t["avg_confidence"] + t["normalized_occurrences"] / 2 - 3
+        assert (r["relatedness_to_context"], r["relatedness_to_others"], r["prediction"]) == pytest.approx((to_context, to_others, 1 / (1 + math.exp(-score))), abs=2e-6)
+    assert any(r["relatedness_to_context"] > 0.01 and r["relatedness_to_others"] > 0.01 for r in rows)
+    examples = registry.queries()["whole_wsd_examples"](spark, str(tmp_path)).where("source in (3, 61)").collect()
+    by_source = {}
+    for r in whole.training_context(wiki).collect():
+        by_source.setdefault(r["source"], {})[r["page_id"]] = r["weight"]
+    assert {(r["source"], r["page_id"], r["commonness"], r["is_correct"]) for r in examples} == {(s, p, round(c / 60, 6), p == d) for s, d in ((3, 1), (61, 2)) for p, c in ((1, 59), (2, 1))}
+    for r in examples:
+        others = by_source[r["source"]]
+        want = [sum(compare(r["page_id"], q)[i] for q in others if q != r["page_id"]) / len(others) for i in range(4)]
+        assert [r[m] for m in rl.MEASURES] + [r["quality"]] == pytest.approx([*want, sum(others.values())], abs=2e-6)
