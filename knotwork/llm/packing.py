@@ -5,8 +5,9 @@ count for each length. That histogram, at most ``capacity`` rows, is all that th
 
 1. Dominance: take the longest open length L with rest r = capacity - L. If nothing fits in the rest, {L} is fixed;
    if the longest length k that fits fills the rest, or no two items fit there together, {L, k} dominates every
-   other set with L and is fixed; so does {L, a, b} that fills the rest while no three items fit there. Fixing
-   shrinks the instance and is repeated, in multiples of equal items.
+   other set with L and is fixed; so does {L, a, b} that fills the rest while no three items fit there, a is the
+   longest that fits, and no two items longer than b fit together. Fixing shrinks the instance and is repeated, in
+   multiples of equal items.
 2. The remainder is packed by best fit decreasing, again in multiples: open bins are kept by their free space.
 
 The plan is a table of runs, a few for each length: bounded by the capacity, not by the documents. Each piece finds
@@ -116,14 +117,14 @@ def least(sizes: list[int], left: dict[int, int], n: int, without: int) -> float
 
 
 def filling(sizes: list[int], left: dict[int, int], rest: int, without: int) -> tuple[int, int] | None:
-    """Two items that fill the rest, the larger as large as can be."""
-    for a in reversed(sizes[: bisect_left(sizes, rest)]):
-        b = rest - a
-        if b > a:
-            return None
-        if b in left and left[a] - (a == without) >= 1 + (a == b) and left[b] - (b == without) >= 1 + (a == b):
-            return a, b
-    return None
+    """The longest item that fits in the rest and one that fills it, if they cover whatever one or two items fit: a
+    single one is no longer than the first, and of two the shorter is no longer than the second."""
+    spare = lambda x: left.get(x, 0) - (x == without)
+    a = next((x for x in reversed(sizes[: bisect_left(sizes, rest + 1)]) if spare(x)), rest)
+    b = rest - a
+    if not 0 < b <= a or spare(b) < 1 + (a == b) or least(sizes[bisect_left(sizes, b + 1) :], left, 2, without) <= rest:
+        return None
+    return a, b
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:

@@ -295,6 +295,19 @@ def test_dominance_costs_no_bin():
         assert bins <= fewest_bins(items, 20) + 1
 
 
+def test_dominance_of_three_items():
+    items = [20, 18, 17, 16, 14, 12, 11, 9]
+    fixed, left = packing.reduce_dominated(dict(Counter(items)), 40)
+    rest = [x for x, n in left.items() for _ in range(n)]
+    assert sum(n for _, n in fixed) + fewest_bins(rest, 40) == fewest_bins(items, 40) == 3
+    rng = random.Random(9)
+    for _ in range(400):
+        items = [rng.randint(8, 22) for _ in range(rng.randint(5, 9))]
+        fixed, left = packing.reduce_dominated(dict(Counter(items)), 40)
+        rest = [x for x, n in left.items() for _ in range(n)]
+        assert sum(n for _, n in fixed) + fewest_bins(rest, 40) == fewest_bins(items, 40)
+
+
 def test_token_output_round_trip(spark, docs, empty):
     from knotwork.llm.util import new_path
 
