@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .util import partitions, table
@@ -80,25 +80,13 @@ class Digest:
         return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
-def fold(events: Iterable[tuple]) -> list[tuple[str, str]]:
-    """Final (role, text) of each message, in the order of their first events. (message, kind, role, text) each."""
-    found: dict = {}
-    for message, kind, role, text in events:
-        if kind == "delete":
-            found[message] = None
-            continue
-        was = found.get(message) or [role, []]
-        if message not in found or kind in ("message", "edit", "regenerate"):
-            was = [role if role is not None else was[0], []]
-        if text:
-            was[1].append(text)
-        found[message] = was
-    return [(x[0] or "", "".join(x[1])) for x in found.values() if x]
-
-
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A table of (conv_id, turn, role, text) as a log; every row is a message of its own."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit(None).cast("string").alias("message_id"), F.lit("message").alias("kind"), "role", "text")
+    """A table of (conv_id, turn, role, text) as a log; every row is a message of its own, rows that are equal are told
+    apart by their number among them."""
+    same = ["conv_id", "turn", "role", "text"]
+    numbered = conversations.select(*same).withColumn("_tie", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))))
+    name = F.to_json(F.struct("turn", "role", F.sha2(F.col("text").cast("string"), 256).alias("text"), "_tie"))
+    return numbered.select("conv_id", F.col("turn").alias("seq"), name.alias("message_id"), F.lit("message").alias("kind"), "role", "text")
 
 
 def final_messages(log: DataFrame) -> DataFrame:
@@ -108,10 +96,11 @@ def final_messages(log: DataFrame) -> DataFrame:
     plain = log.where("message_id is null").select("conv_id", "seq", "role", "text")
     at = F.struct("seq", "kind", "role", "text")
     resets = F.when(F.col("kind").isin("message", "edit", "regenerate", "delete"), at)
-    last = log.where("message_id is not null").groupBy("conv_id", "message_id").agg(F.min("seq").alias("first"), F.max(resets).alias("reset"), F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"))
-    kept = log.where("message_id is not null").alias("e").join(last.alias("l"), ["conv_id", "message_id"])
+    last = log.where("message_id is not null").groupBy("conv_id", "message_id").agg(F.min("seq").alias("first"), F.max(resets).alias("reset"), F.max_by("role", F.when(F.col("role").isNotNull(), F.struct("seq"))).alias("role"))
+    met = F.col("e.conv_id").eqNullSafe(F.col("l.conv_id")) & (F.col("e.message_id") == F.col("l.message_id"))
+    kept = log.where("message_id is not null").alias("e").join(last.alias("l"), met)
     after = F.col("l.reset").isNull() | (F.struct("e.seq", "e.kind", "e.role", "e.text") >= F.col("l.reset"))
-    pieces = kept.where(after).groupBy("conv_id", "message_id", F.col("l.first").alias("seq"), F.col("l.role").alias("role"), F.col("l.reset.kind").alias("how")).agg(F.array_sort(F.collect_list(F.struct("e.seq", F.coalesce("e.text", F.lit("")).alias("text")))).alias("parts"))
+    pieces = kept.where(after).groupBy(F.col("l.conv_id").alias("conv_id"), F.col("l.message_id").alias("message_id"), F.col("l.first").alias("seq"), F.col("l.role").alias("role"), F.col("l.reset.kind").alias("how")).agg(F.array_sort(F.collect_list(F.struct("e.seq", F.coalesce("e.text", F.lit("")).alias("text")))).alias("parts"))
     whole = pieces.where("how is null or how <> 'delete' or size(parts) > 1").select("conv_id", "seq", "role", F.concat_ws("", F.col("parts.text")).alias("text"))
     return plain.unionByName(whole)
 

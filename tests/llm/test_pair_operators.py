@@ -67,6 +67,14 @@ def test_digests(spark, monkeypatch):
     assert chat_format.digests(chat_format.formatted(chat_format.final_messages(chat_format.as_events(frame.limit(0))))).count() == 0
 
 
+def test_rows_pass_the_fold(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", None), (1, 1, None, "b"), (None, 0, "user", "c"), (2, None, "user", "d"), (2, 5, "assistant", "")]
+    log = chat_format.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert log.where("message_id is null").count() == 0 and log.select("conv_id", "message_id").distinct().count() == len(rows)
+    found = [(r["conv_id"], r["seq"], r["role"], r["text"]) for r in chat_format.final_messages(log).collect()]
+    assert sorted(found, key=repr) == sorted(((c, t, role, text or "") for c, t, role, text in rows), key=repr)
+
+
 def test_probe_is_kept_apart(spark, sf_dir):
     row = chat_format.op3_chat_format(spark, sf_dir).where("conv_id = -7").first()
     assert row["turns_sha256"] == sha(f"user\n{chat_format.PROBE}\nassistant\n{chat_format.PROBE}\n") and row["loss_sha256"] == sha(chat_format.PROBE)
