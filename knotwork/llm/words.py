@@ -37,15 +37,33 @@ def offsets(lengths: list[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int64)
 
 
-def word_ids(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def parts(text: bytes, limit: int = SLICE) -> Iterator[bytes]:
+    """The text in pieces of about ``limit`` bytes that cut no word, so that a long one's words needn't all be held."""
+    start = 0
+    while len(text) - start > limit:
+        end = start + limit
+        while end < len(text) and not SPACE[text[end]]:
+            end += 1
+        yield text[start:end]
+        start = end
+    yield text[start:] if start else text
+
+
+def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words, one after the other, equal for equal words; where each text's begin, and the end)."""
     ids: dict[bytes, int] = defaultdict(count().__next__)
-    at = offsets([len(w) for w in words])
-    out = np.fromiter((ids[x] for w in words for x in w), np.int64, at[-1])
-    return out, at
+    found, lengths = [], []
+    for t in texts:
+        n = 0
+        for part in parts(t):
+            words = part.split()
+            found.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+            n += len(words)
+        lengths.append(n)
+    return np.concatenate([np.zeros(0, np.int64), *found]), offsets(lengths)
 
 
 def counts(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many of the mask are set in each text; ``at``: where the texts begin, and the end."""
-    sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-    return sums[at[1:]] - sums[at[:-1]]
+    edges = at.tolist()
+    return np.fromiter((np.count_nonzero(mask[a:b]) for a, b in zip(edges[:-1], edges[1:])), np.int64, len(edges) - 1)
