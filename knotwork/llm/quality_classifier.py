@@ -5,9 +5,10 @@ line after. The field labels each line good or bad; forward-backward gives each
 weighted by the lines' lengths, is the text's quality. A logistic curve, fitted beside the field, turns it into the
 probability of label 1. Two labels need one log-odds a message, so many texts run through the recursions at once.
 
-Training: lines bear the label of their document. The sample is bounded: at most ``TRAIN_ROWS`` labelled rows, by the
-hash of their ids, of documents with at most ``TRAIN_LINES`` lines; only their line features come to the driver.
-Scoring is one pass over all whole texts without a shuffle.
+Training: lines bear the label of their document. The sample is bounded: at most ``TRAIN_ROWS`` labelled ids, by their
+hash, and of each document, however long, at most ``TRAIN_LINES`` successive lines with a word, from a place that its
+text's checksum names. Only the features of these lines come to the driver. Of several rows of one labelled id the one
+whose features are least counts. Scoring is one pass over all whole texts without a shuffle.
 
 Null and empty texts have no lines: their score is the share of label 1 in the sample. Without labelled rows of both
 labels every score is that share, or 0.5 without any. Repeated rows are scored each; null labels are not used.
@@ -15,6 +16,7 @@ labels every score is that share, or 0.5 without any. Repeated rows are scored e
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -95,7 +97,8 @@ def line_features(texts: list[bytes]) -> Lines:
             seen.add(content)
 
     def share(of: np.ndarray, n: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(of[raw], dtype=np.int64)])
+        sums = np.zeros(len(raw) + 1, np.int32 if len(raw) < 1 << 31 else np.int64)
+        np.cumsum(of[raw], out=sums[1:])
         return (sums[end] - sums[start]) / np.maximum(n, 1)
 
     length = end - start
@@ -227,8 +230,15 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
+def stretch(lines: Lines, text: bytes, most: int) -> slice:
+    """The lines of one text that train: all, or ``most`` successive ones."""
+    more = len(lines.text) - most
+    start = zlib.crc32(text) % (more + 1) if more > 0 else 0
+    return slice(start, start + most)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits on at most ``rows`` labelled documents, none of them held out."""
+    """Fits on at most ``rows`` labelled documents, none of them held out, and ``lines`` lines of each."""
     own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").where(~held_out(F.col("_id")))
     own = own.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
 
@@ -238,12 +248,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: int
             found = []
             for text in texts:
                 f = line_features([text])
-                found.append((f.length.astype("<i8").tobytes(), f.own.astype("<f4").tobytes()) if 0 < len(f.text) <= lines else (None, None))
+                some = stretch(f, text, lines)
+                found.append((f.length[some].astype("<i8").tobytes(), f.own[some].astype("<f4").tobytes()) if len(f.text) else (None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["_id", "_label", "lengths", "own"])
 
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(own), "_id").select("_id", "_label", "_text")
     kind = picked.schema["_id"].dataType.simpleString()
-    got = picked.mapInArrow(run, f"_id {kind}, _label int, lengths binary, own binary").where("lengths is not null").collect()  # at most `rows` rows of `lines` lines
+    made = picked.mapInArrow(run, f"_id {kind}, _label int, lengths binary, own binary").where("lengths is not null")
+    once = made.groupBy("_id").agg(F.min(F.struct("own", "lengths", "_label")).alias("x"))  # an id may have many rows
+    got = once.select("_id", "x.*").collect()  # at most `rows` rows of `lines` lines
     got = sorted(got, key=lambda r: (str(r["_id"]), bytes(r["own"])))
     lengths = [np.frombuffer(r["lengths"], "<i8") for r in got]
     if not got:
