@@ -2,8 +2,9 @@
 
 Weights are the sources' token shares to the power of an exponent from 0 (uniform) to 1 (as they are), normalised.
 The exponent is found by bisection: the smallest whose most repeated source stays within ``max_repeats`` epochs, or
-the largest whose weights still have ``target_entropy`` (nats). Each round evaluates a grid of exponents in one
-aggregate over the table of sources, so the driver sees one row a round, however many sources there are.
+the largest whose weights still have ``target_entropy`` (nats). All the midpoints that the next halvings may ask for
+are evaluated in one aggregate over the table of sources, so the driver sees a few rows a round, however many sources
+there are, and a job serves five halvings.
 
 A source's budget is its weight's share of the tokens asked for; by default so many that the least repeated source
 is used exactly once, so nothing is lost. The budget gives whole epochs, and one more that breaks off: its documents
@@ -29,8 +30,8 @@ from .tokens import encoder
 from .util import numbered, spread, stored, table
 
 VOCABULARY, MAX_REPEATS, SEED = "byte_bpe_50k.json", 1.5, 7
-#: Exponents tried in a round, rounds, and documents of a block of the permutation, about.
-GRID, ROUNDS, BLOCK = 32, 6, 4096
+#: Halvings that one aggregate serves, rounds, documents of a block of the permutation, about, and most blocks of one.
+HALVINGS, ROUNDS, BLOCK, BLOCKS = 5, 6, 4096, 1 << 18
 
 
 def token_counts(df: DataFrame, keep: list[str], text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -61,20 +62,28 @@ def measures(sources: DataFrame, exponents: list[float], budget: int | None) ->
 
 
 def exponent(sources: DataFrame, max_repeats: float | None, target_entropy: float | None, budget: int | None) -> float:
-    """By bisection, a grid of exponents a round. If even 1 breaks the limit, or even 0 misses the entropy: that end."""
+    """By bisection. A larger exponent repeats less and has less entropy: the least that keeps the limit of repeats, or
+    the greatest that keeps the entropy. If even 1 breaks the limit, or even 0 misses the entropy: that end."""
+    by_entropy, steps = target_entropy is not None, 1 << HALVINGS
+
+    def small_enough(found: tuple[float, float]) -> bool:
+        """Whether the exponent sought isn't below this one."""
+        return found[1] >= target_entropy - 1e-12 if by_entropy else found[0] > max_repeats * (1 + 1e-12)
+
     low, high = 0.0, 1.0
-    for _ in range(ROUNDS):
-        grid = [low + (high - low) * i / GRID for i in range(GRID + 1)]
-        found = measures(sources, grid, budget)
-        if target_entropy is not None:
-            good = [i for i, (_, h) in enumerate(found) if h >= target_entropy - 1e-12]
-            at = max(good, default=0)
-            low, high = grid[at], grid[min(at + 1, GRID)]
-        else:
-            good = [i for i, (r, _) in enumerate(found) if r <= max_repeats * (1 + 1e-12)]
-            at = min(good, default=GRID)
-            low, high = grid[max(at - 1, 0)], grid[at]
-    return low if target_entropy is not None else high
+    for number in range(ROUNDS):
+        midpoints = [low + (high - low) * i / steps for i in range(steps + 1)]
+        found = measures(sources, midpoints, budget)
+        if number == 0 and not small_enough(found[0]):
+            return low
+        if number == 0 and small_enough(found[-1]):
+            return high
+        a, b = 0, steps
+        while b - a > 1:
+            middle = (a + b) // 2
+            a, b = (middle, b) if small_enough(found[middle]) else (a, middle)
+        low, high = midpoints[a], midpoints[b]
+    return low if by_entropy else high
 
 
 def plan(counted: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
@@ -92,7 +101,7 @@ def plan(counted: DataFrame, max_repeats: float | None = MAX_REPEATS, target_ent
     sources = sources.withColumn("weight", weight).withColumn("budget", F.round(F.col("weight") * asked).cast("long"))
     sources = sources.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.greatest("tokens", F.lit(1)))).otherwise(1))
     sources = sources.withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(0))
-    sources = stored(sources.withColumn("blocks", F.ceil(F.col("docs") / BLOCK)), "weights")
+    sources = stored(sources.withColumn("blocks", F.least(F.ceil(F.col("docs") / BLOCK), F.lit(BLOCKS))), "weights")
     ranked = counted.join(sources.where("rest > 0").select("key", "epochs", "rest", "blocks"), "key").withColumn("u", place("epochs", "h", seed))
     ranked = ranked.withColumn("block", F.floor(F.col("u") / F.lit(float(1 << 62)) * F.col("blocks"))).select("key", "block", "u", "n_tokens", "rest")
     before = Window.partitionBy("key").orderBy("block")
