@@ -2,7 +2,7 @@
 
 ``write_token_ids`` range-partitions the texts by id, encodes each partition in order and writes its ids with
 Spark's ORC writer: integer run-length encoding, row indexes, Bloom filters on the document id. Every row also
-bears its shard and its place there, both nearly free under run-length encoding. Readers split files by stripe, and
+bears its shard, its place there and its number of ids, nearly free under run-length encoding. Readers split files by stripe, and
 a filter on the document id prunes files and stripes by their statistics and Bloom filters.
 
 ``read_token_ids`` reads the files back and gives each document its place in the whole token stream: sums by shard,
@@ -33,7 +33,7 @@ ROW_INDEX, STRIPE = 2000, 16 << 20
 
 
 def write_token_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = 1) -> None:
-    """Writes (shard, place, id, ids array<int>) in ascending order of the id, shard by shard."""
+    """Writes (shard, place, id, n_tokens, ids array<int>) in ascending order of the id, shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end, place = encoder(vocabulary).ids, np.array([end_id], "<u4").tobytes(), 0
@@ -45,14 +45,14 @@ def write_token_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 offsets = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(raw), "<i4"))
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(place, place + n)), part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["shard", "place", id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(place, place + n)), part.column(0), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["shard", "place", id_col, "n_tokens", "ids"])
                 place += n
 
     picked = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     picked = picked.withColumn("tie", F.xxhash64("text"))
     dealt = picked.repartitionByRange(id_col, "tie").sortWithinPartitions(id_col, "tie").drop("tie")
     kind = picked.schema[id_col].dataType.simpleString()
-    rows = dealt.mapInArrow(run, f"shard int, place long, `{id_col}` {kind}, ids array<int>")
+    rows = dealt.mapInArrow(run, f"shard int, place long, `{id_col}` {kind}, n_tokens int, ids array<int>")
     rows.write.mode("overwrite").option("orc.bloom.filter.columns", id_col).option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", ROW_INDEX).option("orc.stripe.size", STRIPE).option("orc.create.index", "true").option("compression", "zstd").orc(path)
 
 
@@ -71,8 +71,8 @@ def read_token_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
     rows = files.mapInArrow(run, f"shard int, place long, `{id_col}` {kind}, n_tokens long, ids_crc32 long")
     inside = Window.partitionBy("shard").orderBy("place")
     rows = rows.withColumn("inside", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
-    # the ids' count of each shard comes from the files again, but reads only the lists' lengths
-    sums = spark.read.orc(path).groupBy("shard").agg(F.sum(F.size("ids")).alias("n"))
+    # reads two columns of integers, and no ids
+    sums = spark.read.orc(path).groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     bases = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
     return rows.join(bases, "shard").select(id_col, (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
