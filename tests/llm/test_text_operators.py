@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from knotwork.llm import mixing, packing, quality_classifier, quality_rules, simhash, token_counts, token_output, tokens
 from knotwork.llm.words import word_ids
@@ -57,8 +58,10 @@ def test_token_counts(docs, empty):
         text = (TEXTS[r["doc_id"]] if r["doc_id"] is not None else "a b c d") or ""
         assert r["n_bytes"] == len(text.encode()) and r["n_tokens"] == len(lib.encode(text, add_special_tokens=False).ids)
         cut = r["cuts"][0]
-        assert token_counts.count_at(r["prefix_store"], cut) <= 8
-        assert cut == token_counts.cut_at(r["prefix_store"], 8)
+        n = lambda k: len(lib.encode(text[:k], add_special_tokens=False).ids)  # noqa: B023, E731
+        longest = max(k for k in range(len(text) + 1) if n(k) <= 8) if len(text) < 200 else next(k for k in range(120, -1, -1) if n(k) <= 8)
+        assert cut == token_counts.cut_at(r["prefix_store"], 8) == longest or n(len(text)) <= 8
+        assert token_counts.count_at(r["prefix_store"], cut) == n(cut) <= 8
     assert token_counts.prefix_counts(empty).count() == 0
 
 
@@ -77,9 +80,23 @@ def test_suffix_array_repeats():
     rng = random.Random(3)
     for _ in range(150):
         texts = [[rng.choice("ab" if rng.random() < 0.5 else "abcdefgh") for _ in range(rng.randint(0, 30))] for _ in range(rng.randint(1, 5))]
-        ids, at = word_ids([[w.encode() for w in t] for t in texts])
-        found = quality_rules.longest_repeats(*quality_rules.suffix_array(ids, at), at)
-        assert found.tolist() == [x if x >= 2 else 0 for t in texts for x in brute_repeats(t)]
+        ids, at = word_ids([" ".join(t).encode() for t in texts])
+        found = quality_rules.longest_repeats(ids, *quality_rules.suffix_array(ids, at), at)
+        assert found.tolist() == [x for t in texts for x in brute_repeats(t)]
+
+
+def test_repeats_of_long_texts(monkeypatch):
+    from knotwork.llm import words
+
+    rng = random.Random(31)
+    part = [f"w{rng.randint(0, 9999)}" for _ in range(40_000)]
+    text = " ".join(part * 3 + ["end"]).encode()
+    found = [x.to_pylist()[0] for x in quality_rules.measure([text])[:7]]
+    assert found[0] == found[5] + 1 == 120_001 and found[6] == 80_000
+    monkeypatch.setattr(words.parts, "__defaults__", (64,))  # a long text's words are read in pieces
+    ids, at = word_ids([text[:5000], b"", b" x ", b"y" * 500])
+    assert at.tolist() == [0, *np.cumsum([len(t.split()) for t in (text[:5000], b"", b" x ", b"y" * 500)]).tolist()]
+    assert ids[: at[1]].tolist() == word_ids([text[:5000]])[0].tolist()
 
 
 def brute_rules(text, least=8):
@@ -224,6 +241,97 @@ def test_forward_backward():
     assert np.allclose(found, want)
 
 
+def plain_inputs(own, text):
+    """Line features with those of the neighbours, line by line."""
+    out = []
+    for k, row in enumerate(own):
+        side = lambda j: [*own[j], 1.0] if 0 <= j < len(own) and text[j] == text[k] else [0.0] * (len(row) + 1)  # noqa: B023, E731
+        out.append([1.0, *row, *side(k - 1), *side(k + 1)])
+    return np.array(out)
+
+
+def test_fit_equals_plain_fit():
+    """Adam on the exact gradient, whose expectations are sums over all labelings of each short chain."""
+    from itertools import product
+
+    rng = np.random.default_rng(11)
+    texts = ["\n".join(" ".join(rng.choice(["word", "UPPER!", "x#|", "42", "more of it"], rng.integers(1, 6))) for _ in range(rng.integers(1, 5))) for _ in range(8)]
+    label = np.array([1, 0, 1, 1, 0, 0, 1, 0])
+    lines = quality_classifier.line_features([t.encode() for t in texts])
+    model = quality_classifier.fit(lines, label, steps=15)
+    x = plain_inputs(lines.own.astype(float), lines.text)
+    mean, scale = x.mean(0), x.std(0)
+    mean[0], scale = 0, np.maximum(scale, 1e-3)
+    scale[0] = 1
+    x = np.clip((x - mean) / scale, -5, 5)
+    theta = np.zeros(x.shape[1] + 4)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+
+    def of(labels, rows):
+        """Features of a labeling of one chain."""
+        f = np.zeros_like(theta)
+        for k, y in zip(rows, labels):
+            f[:-4] += x[k] * y
+        for a, b in zip(labels, labels[1:]):
+            f[len(theta) - 4 + 2 * a + b] += 1
+        return f
+
+    for step in range(1, 16):
+        gradient = np.zeros_like(theta)
+        for i, y in enumerate(label):
+            rows = np.flatnonzero(lines.text == i)
+            every = [of(c, rows) for c in product((0, 1), repeat=len(rows))]
+            weights = np.exp([f @ theta for f in every])
+            gradient += of([y] * len(rows), rows) - sum(w * f for w, f in zip(weights, every)) / weights.sum()
+        gradient = gradient / len(x) - 1e-3 * theta
+        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
+        theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    assert np.allclose(model.weights, theta[:-4], atol=1e-5) and np.allclose(model.link.ravel(), theta[-4:], atol=1e-5)
+    assert np.allclose(model.scores([t.encode() for t in texts]), plain_scores(model, texts), atol=1e-5)
+
+
+def plain_scores(model, texts):
+    """Each text's score, a line and a step at a time."""
+    out = []
+    for text in texts:
+        lines = quality_classifier.line_features([(text or "").encode()])
+        if not len(lines.text):
+            out.append(model.share)
+            continue
+        unary = [float(u) for u in np.clip((plain_inputs(lines.own.astype(float), lines.text) - model.mean) / model.scale, -5, 5) @ model.weights]
+        link, n = np.exp(model.link), len(unary)
+        forward, backward = [np.array([1.0, np.exp(unary[0])])], [np.ones(2)]
+        for u in unary[1:]:
+            step = forward[-1] @ link * [1.0, np.exp(u)]
+            forward.append(step / step.sum())
+        for u in reversed(unary[1:]):
+            step = link @ (backward[-1] * [1.0, np.exp(u)])
+            backward.append(step / step.sum())
+        both = [f * b for f, b in zip(forward, reversed(backward))]
+        quality = sum(p[1] / p.sum() * size for p, size in zip(both, lines.length)) / lines.length.sum()
+        a, b = model.curve
+        out.append(1 / (1 + np.exp(-(a + b * quality))))
+    return out
+
+
+def test_training_keeps_long_documents(spark):
+    """A document of many lines trains by a stretch of them, and a labelled id's rows count once."""
+    rows = [(i, "\n".join(f"line {k} of good words here" for k in range(700 if i < 4 else 5)) if i % 2 else "#### $$$ ||||\n" * (900 if i < 4 else 3)) for i in range(40)] + [(7, "again and again")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    used = [i for i in range(4) if zlib.crc32(str(i).encode()) % 5]
+    model = quality_classifier.train(docs, labels)
+    assert len({i % 2 for i in used}) == 2 and model.weights is not None
+    scores = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs.limit(40), model).collect()}
+    assert min(scores[i] for i in (9, 11)) > max(scores[i] for i in (8, 10))
+    more = spark.createDataFrame([(7, 1), (7, 1), (6, 0)], "doc_id long, quality int")
+    shares = quality_classifier.train(docs, more, rows=2)
+    assert shares.share == 0.5 if zlib.crc32(b"7") % 5 and zlib.crc32(b"6") % 5 else shares.share in (0.0, 1.0, 0.5)
+    text = b"\n".join(b"l%d" % k for k in range(1000))
+    some = quality_classifier.stretch(quality_classifier.line_features([text]), text, 200)
+    assert 0 <= some.start <= 800 and some.stop == some.start + 200
+
+
 def test_classifier_held_out(spark):
     d = "/root/testdata/sf0.01"
     out = quality_classifier.op2_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
@@ -329,6 +437,24 @@ def test_token_output_round_trip(spark, docs, empty):
     assert token_output.read_token_ids(spark, path).count() == 0
 
 
+def test_very_long_texts(spark):
+    from knotwork.llm.util import new_path
+
+    text = "a long text, of many words and\nlines 42 " * 6000 + "z" * 5000
+    rows = spark.createDataFrame([(1, text, "x", 1), (2, None, "y", 2)], "doc_id long, text string, n_tokens string, piece long")
+    lib = library("byte_bpe_50k.json")
+    n = len(lib.encode(text, add_special_tokens=False).ids)
+    r = {r["doc_id"]: r for r in token_counts.prefix_counts(rows, budgets=(512,)).collect()}
+    assert r[1]["n_tokens"] == n and r[2]["n_tokens"] == 0 and len(lib.encode(text[: r[1]["cuts"][0]], add_special_tokens=False).ids) <= 512
+    pieces = [p for p in packing.pack_documents(rows).collect() if p["doc_id"] == 1]
+    assert sum(p["length"] for p in pieces) == n + 1 and all(p["length"] == 1024 for p in pieces if p["piece"])
+    path = new_path(spark, "long")
+    token_output.write_token_ids(rows, path)
+    out = {r["doc_id"]: r["n_tokens"] for r in token_output.read_token_ids(spark, path).collect()}
+    assert out == {1: len(library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids) + 1, 2: 1}
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
 def mixed(spark, sizes, **settings):
     rows = [(k * 1000 + i, "word " * n, f"s{k}") for k, (docs, n) in enumerate(sizes) for i in range(docs)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -359,6 +485,46 @@ def test_mixing_by_entropy_and_budget(spark):
     assert abs(sum(r["n_tokens"] for r in rows) - 1000) < 40
 
 
+def plain_mixture(rows, e):
+    """How often each (id, source, tokens, place in the last epoch) is used, source by source: weights are shares to
+    the power of e, the least repeated source is used once."""
+    totals = Counter()
+    for _, s, n, _ in rows:
+        totals[s] += n
+    share = {s: t / sum(totals.values()) for s, t in totals.items()}
+    raw = {s: p**e for s, p in share.items()}
+    asked = max(totals[s] / raw[s] for s in totals) * sum(raw.values())
+    used = {}
+    for s in totals:
+        budget = round(asked * raw[s] / sum(raw.values()))
+        epochs, rest = divmod(budget, totals[s])
+        for i, _, n, place in sorted((r for r in rows if r[1] == s), key=lambda r: r[3][epochs]):
+            used[i] = epochs + (rest > 0)
+            rest = max(0, rest - n)
+    return used
+
+
+@pytest.mark.parametrize("limit", [1.2, 1.5, 2.0])
+def test_mixing_equals_plain_mixture(spark, monkeypatch, limit):
+    """Sources of shares 16 : 4 : 1, so the exponent for a limit r is 1 - ln r / ln 16, inside (0, 1)."""
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    lib = library("byte_bpe_50k.json")
+    texts = [(k * 1000 + i, "word " * (1 + (i * 7) % 9), f"s{k}") for k, n in enumerate((36 * 16, 36 * 4, 36)) for i in range(n)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    placed = docs.select("doc_id", F.xxhash64("doc_id", "text", "source").alias("h"), F.lit(1).alias("e1"), F.lit(2).alias("e2"))
+    places = {r["doc_id"]: r for r in placed.select("doc_id", *(mixing.place(f"e{e}", "h", mixing.SEED).alias(f"p{e}") for e in (1, 2))).collect()}
+    rows = [(i, s, len(lib.encode(t, add_special_tokens=False).ids), {1: places[i]["p1"], 2: places[i]["p2"], 3: 0}) for i, t, s in texts]
+    totals = Counter()
+    for _, s, n, _ in rows:
+        totals[s] += n
+    e = 1 - np.log(limit) / np.log(totals["s0"] / totals["s2"])
+    got = mixing.mix(docs, max_repeats=limit).collect()
+    weights = {r["source"]: r["weight"] for r in got}
+    want = {s: (totals[s] / sum(totals.values())) ** e for s in totals}
+    assert 0 < e < 1 and all(abs(weights[s] - want[s] / sum(want.values())) < 1e-8 for s in want)
+    assert Counter(r["doc_id"] for r in got) == Counter(plain_mixture(rows, e))
+
+
 def test_mixing_edges(spark, docs, empty):
     rows = mixing.mix(docs).collect()
     assert {r["doc_id"] for r in rows} == {*range(len(TEXTS)), None}
