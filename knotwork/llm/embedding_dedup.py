@@ -13,7 +13,8 @@ blocks find counts in the first of them, so the union needs no shuffle of pairs.
 number of links and a spanning forest, never the pairs; components.py joins the forests.
 
 Equal vectors of a label are one row from the start, with their number, so a group of copies of any size costs no
-more than one vector.
+more than one vector; its rows learn their class by broadcast if they are many (util.looked_up). A vector travels
+whole to each of its slabs, as it is verified there: fetching it for the candidates alone would move pairs.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link with
 nothing and are kept. Vectors of different dimensions don't link. Repeated rows are copies of each other. Null ids get
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .util import dealt_groups, partitions, stored, table
+from .util import dealt_groups, looked_up, partitions, stored, table
 
 THRESHOLD = 0.93
 #: Dimensions of a block, vectors of a slab's slice, rows and candidates that are compared at a time, and what the
@@ -215,14 +216,15 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     found = stored(spanning_links(nodes, threshold), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    rooted = components(found.where("b is not null").select("a", "b"))
-    rooted = nodes.select("node", "least").join(rooted, "node", "right")
-    named = rooted.groupBy("root").agg(F.min("least").alias("named")).join(rooted.select("node", "root"), "root").select("node", "named")
+    rooted = stored(nodes.select("node", "least").join(components(found.where("b is not null").select("a", "b")), "node"), "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("named"), F.count("*").alias("size")), "least")
+    named = looked_up(rooted.select("node", "root"), least, ["root"], "size").select("node", "named")
     known = nodes.join(links, "node", "left").join(named, "node", "left")
-    known = known.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("named", "least").alias("named"))
-    joined = rows.join(known, F.col("sound") & (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")), "left")
-    component = F.when(F.col("sound"), F.col("named")).otherwise(F.col("id"))
-    return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    known = known.select("label", "embedding", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("named", "least").alias("component_id"))
+    linked = looked_up(rows.where("sound").select("id", "label", "embedding"), stored(known, "known"), ["label", "embedding"], "n")
+    alone = rows.where("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.select("id", "n_links", "component_id").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..storage import new_path, shared_dir, spread, stored
 
-__all__ = ["cut", "dealt_groups", "new_path", "numbered", "partitions", "shared_dir", "spread", "stored", "table"]
+__all__ = ["cut", "dealt_groups", "looked_up", "new_path", "numbered", "partitions", "shared_dir", "spread", "stored", "table"]
+
+#: A key is hot if it has more than this part of all rows, so there are fewer hot keys than this.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,5 +40,17 @@ def dealt_groups(rows: DataFrame, keys: list[str], by: Column, limit: int) -> Da
     return out.withColumns({"lo": F.least("slice", "_t"), "hi": F.greatest("slice", "_t")}).drop("_t", "_m")
 
 
+def looked_up(rows: DataFrame, known: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Rows joined with ``known``, a stored table of one row for each key, whose column ``count`` says how many rows bear
+    it and is left out. Rows of hot keys meet it by broadcast, as there are fewer than HOT_KEYS of them however large the
+    tables are, so none of their tasks is longer than others; the rest meet it by Spark's own choice."""
+    total = known.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * HOT_KEYS > F.lit(total)
+    hot = known.where(is_hot)
+    near = rows.join(F.broadcast(hot.drop(count)), keys)
+    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    return near.unionByName(rest.join(known.where(~is_hot).drop(count), keys))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
