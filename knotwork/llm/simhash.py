@@ -2,7 +2,8 @@
 
 Fingerprints: one pass over the texts; a bit is set if it is set in over half of the hashes of all four-word
 shingles, repeats included. From here on only distinct fingerprints move, with the smallest id that bears each, so a
-group of exact copies of any size is one row.
+group of exact copies of any size is one row. Rows learn their component by the fingerprint, and fingerprints by their
+component's name; keys with a large part of all rows meet these by broadcast (util.looked_up).
 
 Candidates: fingerprints that differ in at most ``radius`` bits agree in one whole choice of blocks, if 64 bits are
 cut into ``radius`` + 1 blocks or more (``key_plan``: more and longer keys for more fingerprints; nothing is lost).
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tokens import forget
-from .util import dealt_groups, numbered, partitions, spread, stored, table
+from .util import dealt_groups, looked_up, numbered, partitions, spread, stored, table
 from .words import raw_texts
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -203,20 +204,22 @@ def spanning_links(distinct: DataFrame, radius: int = RADIUS, plan: list[int] |
 
 
 def classes(found: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """(fp, root, component_id) of every distinct fingerprint in ``found`` (id, fp): ``root`` names the component,
-    ``component_id`` is its smallest id."""
-    distinct = stored(found.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints")
-    linked = components(spanning_links(distinct, radius))
-    rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.join(linked.select(F.col("root").alias("_r")).distinct(), F.col("root") == F.col("_r"), "left_semi").groupBy("root").agg(F.min("least").alias("_least"))
-    return rooted.join(least, "root", "left").select("fp", "root", F.coalesce("_least", "least").alias("component_id"))
+    """(fp, n, root, component_id) of every distinct fingerprint in ``found`` (id, fp): ``n`` rows bear it, ``root``
+    names the component, ``component_id`` is its smallest id."""
+    distinct = stored(found.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "fingerprints")
+    linked = components(spanning_links(distinct, radius)).withColumnRenamed("node", "fp")
+    rooted = stored(distinct.join(linked, "fp"), "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "least")
+    alone = distinct.join(linked.select("fp"), "fp", "left_anti").select("fp", "n", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return alone.unionByName(looked_up(rooted.select("fp", "n", "root"), least, ["root"], "size"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """id, fingerprint (16 hexadecimal digits) and component_id of every row."""
     found = stored(fingerprints(df, id_col, text_col), "fingerprints")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return found.join(classes(found, id_col, radius), "fp").select(id_col, hexed.alias("fingerprint"), "component_id")
+    known = stored(classes(found, id_col, radius).select("fp", "n", "component_id"), "classes")
+    return looked_up(found, known, ["fp"], "n").select(id_col, hexed.alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
