@@ -5,7 +5,8 @@ a dot, times the path's prefixes of those lengths that rules have. Rules and exp
 first 32 bits of the expression's SHA-256; the whole digest then confirms, and the longest rule wins (of equal length
 the longer host; of equal rules, block). Only expression functions of the JVM; the rule table is broadcast only while
 Spark's own size threshold allows, else it is joined by shuffle. URLs are expanded once for each distinct
-(host, path), so that a frequent page costs as much as a rare one.
+(host, path), so that a frequent page costs as much as a rare one, and rows learn the verdict by (host, path), those
+of frequent pages by broadcast (util.looked_up).
 
 A URL that is null or has no ``://`` has empty host and path and fits no rule. Null rule fields drop the rule. Rows
 with a null id are kept, repeated rows are judged each. Other columns are not read.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import table
+from .util import looked_up, stored, table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DEFAULT = "allow"
@@ -46,15 +47,18 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     dots = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length("host"), F.lit(1))), lambda i: F.substr("host", i, F.lit(1)) == "."), lambda i: F.substr(F.col("host"), i + 1))
     suffixes = F.array_distinct(F.concat(F.array("host"), dots))
     prefixes = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length("path"))
-    asked = rows.where((F.col("host") != "") | (F.col("path") != "")).select("host", "path").distinct()
-    asked = asked.select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", "suffix", F.explode(F.transform(prefixes, lambda n: F.substr(F.col("path"), F.lit(1), n))).alias("prefix"))
+    named = (F.col("host") != "") | (F.col("path") != "")
+    pages = stored(rows.where(named).groupBy("host", "path").agg(F.count("*").alias("n")), "pages")
+    asked = pages.select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", "suffix", F.explode(F.transform(prefixes, lambda n: F.substr(F.col("path"), F.lit(1), n))).alias("prefix"))
     asked = asked.withColumn("digest", F.sha2(F.concat_ws("\n", F.length("suffix"), F.concat("suffix", "prefix")), 256))
     hits = asked.withColumn("short", F.substring("digest", 1, 8)).alias("a").join(own.alias("r"), F.col("a.short") == F.col("r.short")).where(F.col("a.digest") == F.col("r.digest"))
     order = F.struct(F.length("rule").alias("n"), "host_chars", "block", "rule")
     best = hits.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max(order).alias("best"))
     verdict = F.when(F.col("best").isNull(), default).when(F.col("best.block"), "block").otherwise("allow")
-    joined = rows.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
-    return joined.select(id_col, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    judged = pages.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    judged = stored(judged.select("host", "path", "n", F.col("best.rule").alias("rule"), verdict.alias("verdict")), "verdicts")
+    nowhere = rows.where(~named).select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return looked_up(rows.where(named), judged, ["host", "path"], "n").select(nowhere.columns).unionByName(nowhere)
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
