@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What this driver has written to the shared folder and not yet deleted, in order.
+WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the session names none, a temporary
+    one if all of Spark runs on this machine, else an error, as executors elsewhere couldn't read it."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="knotwork-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -19,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
 
 
 def stored(df: DataFrame, kind: str = "rows") -> DataFrame:
@@ -30,6 +41,16 @@ def stored(df: DataFrame, kind: str = "rows") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Deletes what this driver wrote to the shared folder from place ``since`` of WRITTEN up to ``until``; by default
+    all of it, for when its results are no longer read."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in WRITTEN[since:until]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    del WRITTEN[since:until]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The same rows in at least as many partitions as there are cores. A small table comes in one file or few, and
     the Python work on it would leave most cores idle; a large one is left as it is, and so is what a shuffle made."""
