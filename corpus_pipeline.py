@@ -14,6 +14,7 @@ from knotwork.llm.quality_classifier import quality_classifier_stage
 from knotwork.llm.quality_rules import quality_rules_stage
 from knotwork.llm.simhash import simhash_stage
 from knotwork.llm.util import stored
+from knotwork.storage import WRITTEN, discard
 
 STAGES = [
     ("quality rules", quality_rules_stage),
@@ -27,7 +28,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Packed pieces of the documents that are left. Each stage's table is written to the shared folder; once it is,
+    the table before it and all that the stage wrote on its way are deleted."""
+    docs, first = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(WRITTEN)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(spark, first, -1)
     return STAGES[-1][1](spark, docs, sf_dir)
