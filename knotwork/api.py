@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .config import LINK_CUTOFF, MIN_SENSE_SERVE
+from .config import ENGLISH, LINK_CUTOFF, MIN_SENSE_SERVE, Language
 from .functions.measures import topic_weight
 from .operators import context as cx
 from .operators import graph as gr
@@ -28,29 +28,44 @@ class Graph(NamedTuple):
     weighted: DataFrame
     sizes: DataFrame
     n_articles: int
+    language: Language = ENGLISH
 
     @staticmethod
     def of_wiki(wiki) -> Graph:
         return Graph(wiki.labels, wiki.usable, wiki.senses, wiki.link, wiki.page, *wiki.vectors, wiki.n_articles)
 
+    def contexts(self, doc_labels: DataFrame, least: float, broad: bool = False, by: str = "doc_id") -> DataFrame:
+        """Contexts of documents from their labels; neither dates nor pages of dates count."""
+        dates = cx.dates_of(doc_labels.sparkSession, self.language.code)
+        known = (self.labels, self.senses, gr.in_degree(self.link), dates, self.weighted, self.sizes, self.n_articles, least)
+        return cx.contexts(doc_labels, *known, broad=broad, by=by, date_pages=cx.date_pages(self.page, dates))
+
+    def against(self, pages: DataFrame, context: DataFrame, by: str = "doc_id") -> DataFrame:
+        """Measures, both ways, of pages and the pages of their contexts."""
+        pairs = pages.select(by, F.col("page_id").alias("x")).join(context.select(by, F.col("page_id").alias("y")), by).where("x <> y")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        return stored(rl.both_ways(rl.compare(pairs, self.weighted, self.sizes, self.n_articles)), "compared")
+
 
 def related_categories(ids: DataFrame, graph: Graph) -> DataFrame:
     return gr.related_categories(ids, graph.page, graph.link)
 
 
-def document_parts(docs: DataFrame, graph: Graph, least: float = MIN_SENSE_SERVE, ranker=None, classifier=None) -> dict[str, DataFrame]:
-    """labels, context, broad_context, resolved and links of every document (doc_id, text)."""
-    spark = docs.sparkSession
+def document_parts(docs: DataFrame, graph: Graph, least: float = MIN_SENSE_SERVE, ranker=None, classifier=None, context: DataFrame | None = None) -> dict[str, DataFrame]:
+    """labels, context, broad_context, resolved and links of every document (doc_id, text); ``context``: of documents
+    that have one from elsewhere, as pages have from their links."""
     spans = stored(detect(docs, graph.usable), "spans")
-    names, degrees, dates = spans.select("doc_id", "label").distinct(), gr.in_degree(graph.link), cx.date_labels(spark)
-    known = (graph.labels, graph.senses, degrees, dates, graph.weighted, graph.sizes, graph.n_articles, least)
-    context = stored(cx.contexts(names, *known), "context")
-    broad = cx.contexts(names, *known, broad=True)
+    names = spans.select("doc_id", "label").distinct()
+    context = stored(graph.contexts(names, least), "context") if context is None else context
+    broad = graph.contexts(names, least, broad=True)
+    return {"labels": spans, "context": context, "broad_context": broad, **linked_parts(docs, spans, context, graph, least, ranker, classifier)}
+
+
+def linked_parts(docs: DataFrame, spans: DataFrame, context: DataFrame, graph: Graph, least: float = MIN_SENSE_SERVE, ranker=None, classifier=None) -> dict[str, DataFrame]:
+    """resolved and links from the labels' places (doc_id, start, end, label) in the documents, and their contexts."""
     good = lk.without_noise(spans, graph.senses, least)
-    pages = names.join(graph.senses, "label").select("doc_id", F.col("destination").alias("page_id")).distinct()
-    pairs = pages.select("doc_id", F.col("page_id").alias("x")).join(context.select("doc_id", F.col("page_id").alias("y")), "doc_id").where("x <> y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    compared = stored(rl.both_ways(rl.compare(pairs, graph.weighted, graph.sizes, graph.n_articles)), "compared")
+    pages = spans.select("doc_id", "label").distinct().join(graph.senses, "label").select("doc_id", F.col("destination").alias("page_id")).distinct()
+    compared = graph.against(pages, context)
     candidates = lk.sense_candidates(good, graph.senses, context, compared)
     if ranker is None:
         best = lk.best_senses(candidates, lk.linear_score(lk.SENSE_WEIGHTS))
@@ -64,7 +79,7 @@ def document_parts(docs: DataFrame, graph: Graph, least: float = MIN_SENSE_SERVE
     found = stored(lk.topics(resolved, graph.labels, docs, related, least), "topics")
     links = lk.predicted(lk.with_others(found, graph.weighted, graph.sizes, graph.n_articles), classifier)
     links = links.withColumn("weight", topic_weight(F.col("avg_link_probability"), F.col("normalized_occurrences")))
-    return {"labels": spans, "context": context, "broad_context": broad, "resolved": resolved, "links": links}
+    return {"resolved": resolved, "links": links}
 
 
 def label_documents(docs: DataFrame, graph: Graph, **settings) -> DataFrame:
@@ -98,9 +113,37 @@ def excerpts(ids: DataFrame, markup: DataFrame) -> DataFrame:
     return markup.join(ids.select(F.col("id").alias("page_id")), "page_id", "left_semi").select("page_id", text.alias("first_paragraph")).where("first_paragraph is not null")
 
 
-def page_by_id(page: DataFrame, page_id: int) -> DataFrame:
-    return page.where(F.col("id") == page_id)
+def page_by_id(page: DataFrame, *ids: int) -> DataFrame:
+    return page.where(F.col("id").isin(*ids))
+
+
+def page_by_title(page: DataFrame, *titles: str) -> DataFrame:
+    return page.where(F.col("title").isin(*titles))
+
+
+def links_from(link: DataFrame, *ids: int) -> DataFrame:
+    return link.where(F.col("source").isin(*ids))
+
+
+def links_to(link: DataFrame, *ids: int) -> DataFrame:
+    return link.where(F.col("destination").isin(*ids))
+
+
+def senses_of(sense: DataFrame, *labels: str) -> DataFrame:
+    return sense.where(F.col("label").isin(*labels))
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    """Labels that occur in a text."""
+    return labels.where("occurrence_count > 0")
+
+
+def with_namespace(page: DataFrame, namespace: DataFrame) -> DataFrame:
+    """Pages with their namespace's casing and name: a few dozen rows, which Spark broadcasts by their size."""
+    return page.join(namespace.select(F.col("id").alias("namespace_id"), "casing", F.col("name").alias("namespace")), "namespace_id")
 
 
-def page_by_title(page: DataFrame, title: str) -> DataFrame:
-    return page.where(F.col("title") == title)
+def markup_of(markup: DataFrame, page: DataFrame, *types: int) -> DataFrame:
+    """The markup of the pages of some types."""
+    ids = page.where(F.col("page_type").isin(*types)).select(F.col("id").alias("page_id"))
+    return markup.join(ids, "page_id", "left_semi")

@@ -56,7 +56,24 @@ class Language:
         return found
 
 
-ENGLISH = Language("en", "English", ("disambiguation", "disambig", "dab", "geodis", "hndis"))
+#: The languages' names of disambiguation templates, and their training profiles (links out and in, share
+#: of list items, words, and the names and sizes of groups).
+LANGUAGES = Language.from_json("""[
+  {"code": "en", "name": "English",
+   "disambiguationPrefixes": ["dab", "disambiguation", "disambig", "geodis", "schooldis", "call sign disambiguation", "airport disambiguation", "genus disambiguation", "school disambiguation"],
+   "trainingProfile": {"minOutLinks": 15, "minInLinks": 20, "maxListProportion": 0.1, "minWordCount": 400, "maxWordCount": 4000,
+     "disambiguatorGroup": [{"name": "disambiguation-train", "size": 5000}, {"name": "disambiguation-test", "size": 2000}],
+     "linkingGroup": [{"name": "linking-train", "size": 5000}, {"name": "linking-test", "size": 2000}]}},
+  {"code": "en_simple", "name": "English (simple)", "disambiguationPrefixes": ["dab", "disambiguation", "disambig", "geodis"],
+   "trainingProfile": {"minOutLinks": 2, "minInLinks": 3, "maxListProportion": 0.1, "minWordCount": 150, "maxWordCount": 4000,
+     "disambiguatorGroup": [{"name": "disambiguation-train", "size": 1000}, {"name": "disambiguation-test", "size": 500}],
+     "linkingGroup": [{"name": "linking-train", "size": 1000}, {"name": "linking-test", "size": 500}]}},
+  {"code": "fr", "name": "Français", "disambiguationPrefixes": ["homonymie"],
+   "trainingProfile": {"minOutLinks": 15, "minInLinks": 20, "maxListProportion": 0.1, "minWordCount": 400, "maxWordCount": 4000,
+     "disambiguatorGroup": [{"name": "disambiguation-train", "size": 5000}, {"name": "disambiguation-test", "size": 2000}],
+     "linkingGroup": [{"name": "linking-train", "size": 5000}, {"name": "linking-test", "size": 2000}]}}
+]""")
+ENGLISH, SIMPLE_ENGLISH, FRENCH = LANGUAGES["en"], LANGUAGES["en_simple"], LANGUAGES["fr"]
 
 
 @dataclass(frozen=True)
@@ -67,6 +84,17 @@ class Settings:
     workers: int = 0  # 0: as many as the machine has
     compress: bool = True
 
+    @property
+    def chosen(self) -> Language:
+        """The configured language: of the file that is named, else of those that come with the engine."""
+        known = LANGUAGES
+        if os.path.exists(self.languages_file):
+            with open(self.languages_file, encoding="utf-8") as f:
+                known = Language.from_json(f.read())
+        if self.language not in known:
+            raise ValueError(f"no language {self.language}: {', '.join(sorted(known))}")
+        return known[self.language]
+
     @staticmethod
     def from_environment(env: dict[str, str] | None = None) -> Settings:
         env = os.environ if env is None else env

@@ -78,8 +78,7 @@ def case_of(tokens: list[str]) -> str:
 
 
 def capitalize(text: str) -> str:
-    up = text[:1].upper()
-    return (up if len(up) == 1 else text[:1]) + text[1:]
+    return text[:1].upper() + text[1:]
 
 
 def uncapitalize(text: str) -> str:
@@ -130,6 +129,42 @@ def caseless(text: str) -> str:
     return text.lower().upper().lower()
 
 
+class Filter:
+    """A Bloom filter of texts: says no only to what isn't in it. ``bits``: a power of two of them, little-endian."""
+
+    def __init__(self, bits: bytes):
+        self.bits, self.mask = bits, 8 * len(bits) - 1
+
+    @staticmethod
+    def places(text: str, size: int) -> tuple[int, int]:
+        """The two bits of a text among ``size``."""
+        from xxhash import xxh64_intdigest
+
+        h = xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+        return h & size - 1, h >> 32 & size - 1
+
+    def __contains__(self, text: str) -> bool:
+        a, b = self.places(text, self.mask + 1)
+        return bool(self.bits[a >> 3] >> (a & 7) & self.bits[b >> 3] >> (b & 7) & 1)
+
+
+def filter_bits(labels: DataFrame, size: int, label_col: str = "label") -> DataFrame:
+    """(kind, word, bits): the set bits, 32 a word, of the filters of the labels (kind 0) and of their caseless forms (1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[int, int], int] = {}
+            for label in batch.column(0).to_pylist():
+                for kind, text in enumerate((label, caseless(label))):
+                    for place in Filter.places(text, size):
+                        key = kind, place >> 5
+                        found[key] = found.get(key, 0) | 1 << (place & 31)
+            kinds, words = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words, pa.int64()), pa.array(found.values(), pa.int64())], names=["kind", "word", "bits"])
+
+    return labels.select(F.col(label_col).cast("string")).dropna().mapInArrow(run, "kind int, word long, bits long").groupBy("kind", "word").agg(F.bit_or("bits").alias("bits"))
+
+
 def label_candidates(text: str, longest: int, known=None, forms_known=None) -> list[tuple[int, int, str, str, str]]:
     """(start, end, content, natural form, kind) of all n-grams of the text and of its letters and digits alone, with
     their downcased twins at sentence starts and their recased variants; ``known``: only contents in it, if given, and
@@ -154,11 +189,11 @@ def label_candidates(text: str, longest: int, known=None, forms_known=None) -> l
 
 
 def candidates(docs: DataFrame, longest: int = MAX_NGRAM_TOKENS, known=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """label_candidates of every document; ``known``: a broadcast variable that holds a set, or None."""
+    """label_candidates of every document; ``known``: a broadcast variable that holds the filters of labels and of
+    their caseless forms, or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = known.value if known else None
-        forms = set(map(caseless, allowed)) if known else None
+        allowed, forms = map(Filter, known.value) if known else (None, None)
         for batch in batches:
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if found := label_candidates(text or "", longest, allowed, forms):
@@ -169,11 +204,33 @@ def candidates(docs: DataFrame, longest: int = MAX_NGRAM_TOKENS, known=None, id_
     return picked.mapInArrow(run, f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, {NGRAM}")
 
 
+def placed_ngrams(docs: DataFrame, longest: int = MAX_NGRAM_TOKENS, known=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, end, content): where the line n-grams stand that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed = Filter(known.value[0]) if known else None
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found, base = [], 0
+                for line in (text or "").split("\n"):
+                    at = spans(line)
+                    for k, (a, _) in enumerate(at):
+                        found += [(base + a, base + b, line[a:b]) for _, b in at[k : k + longest] if allowed is None or line[a:b] in allowed]
+                    base += len(line) + 1
+                if found:
+                    start, end, content = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(found), batch.column(0).type), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(content, pa.string())], names=[id_col, "start", "end", "content"])
+
+    picked = spread(docs.select(id_col, F.col(text_col).cast("string")))
+    return picked.mapInArrow(run, f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, start int, `end` int, content string")
+
+
 def counted_ngrams(docs: DataFrame, longest: int = MAX_NGRAM_TOKENS, known=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, content, n): the line n-grams of each document, counted there, before anything moves."""
+    """(id, content, n): the line n-grams of each document, counted there, before anything moves; ``known``: as above,
+    of which those that the filter lets through are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = known.value if known else None
+        allowed = Filter(known.value[0]) if known else None
         for batch in batches:
             ids, contents, counts = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

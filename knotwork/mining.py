@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .api import Graph
+from .api import Graph, document_parts, markup_of
 from .config import ARTICLE, DANGLING_REDIRECT, DISAMBIGUATION, ENGLISH, MIN_SENSE_TRAIN, REDIRECT, Language
 from .functions import text as tx
 from .functions.wikitext import parsed
@@ -17,8 +19,8 @@ from .operators import labels as lb
 from .operators import relatedness as rl
 from .operators import titles as tt
 from .operators import training as tr
-from .sources.dump import read_pages, site_info, unparseable
-from .sources.tables import Ledger, Tables, export_csv, first_wins
+from .sources.dump import read_pages, site_info, unparseable, unseen_namespaces
+from .sources.tables import LINK_HEADER, SENSE_HEADER, Ledger, Tables, export_csv, first_wins
 
 
 class Mine:
@@ -30,13 +32,16 @@ class Mine:
     def pages(self) -> None:
         """1. Pages, markup and transclusion counts of the dump."""
         t = self.tables
-        t.write("namespace", site_info(self.spark, self.dump))
+        config = self.spark.createDataFrame([("language", json.dumps(asdict(self.language)))], "id string, data string")
+        t.write("configuration", config.coalesce(1))
+        header = site_info(self.spark, self.dump)
         rows = first_wins(read_pages(self.spark, self.dump, self.language), ["id"], "last_edited")
         found = parsed(rows.select("id", "wikitext"))
         markup = t.write("markup", found.withColumnRenamed("id", "page_id"))
         t.write("page", unparseable(rows, markup.withColumnRenamed("page_id", "id")))
+        t.write("namespace", header.unionByName(unseen_namespaces(t.read("page"), header)))
         last = rows.select(tx.last_transclusion(F.col("wikitext")).alias("name")).where("name is not null")
-        t.write("last_transclusion_count", last.groupBy("name").agg(F.count("*").alias("n")))
+        t.write("last_transclusion_count", last.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name"))
 
     def titles(self) -> None:
         """2. Titles with their redirects resolved; redirects that lead nowhere get their type."""
@@ -65,8 +70,7 @@ class Mine:
 
     def occurrences(self) -> None:
         """5. Labels by their occurrence in the text of articles and disambiguation pages."""
-        kinds = self.page.where(F.col("page_type").isin(ARTICLE, DISAMBIGUATION)).select(F.col("id").alias("page_id"))
-        texts = self.tables.read("markup").join(kinds, "page_id", "left_semi")
+        texts = markup_of(self.tables.read("markup"), self.page, ARTICLE, DISAMBIGUATION)
         anchors = self.tables.read("anchor")
         stats = lb.occurrence_stats(lb.label_occurrences(texts, anchors, "page_id"))
         self.tables.write("label", lb.with_ids(lb.label_table(anchors, stats)))
@@ -83,25 +87,61 @@ class Mine:
         t, link, page = self.tables, self.tables.read("link"), self.page
         labels = t.read("label").withColumn("link_probability", F.when(F.col("occurrence_count") > 0, F.least(F.col("link_count") / F.col("occurrence_count"), F.lit(1.0))))
         n = page.where(F.col("page_type") == ARTICLE).count()
-        return Graph(labels, lb.usable(labels, self.language.profile.min_in_links), gr.commonness(t.read("sense"), least), link, page, *rl.vectors(link, n), n)
+        return Graph(labels, lb.usable(labels, self.language.profile.min_in_links), gr.commonness(t.read("sense"), least), link, page, *rl.vectors(link, n), n, self.language)
+
+    def sampled(self, groups: tuple[tuple[str, int], ...], graph: Graph, but: DataFrame | None = None) -> DataFrame:
+        """(group_name, id) of eligible articles, without those of ``but`` (id)."""
+        texts = self.tables.read("markup").select(F.col("page_id").alias("id"), "text", "wikitext", "list_items")
+        ids = tr.eligible(self.page, graph.link, texts, self.language.profile)
+        return tr.disjoint_samples(ids if but is None else ids.join(but, "id", "left_anti"), groups)
+
+    def own_contexts(self, links: DataFrame, graph: Graph) -> DataFrame:
+        """(source, page_id, weight): contexts of pages from the usable labels among their own links' texts."""
+        own = links.select("source", F.col("anchor_text").alias("label")).distinct().join(graph.usable.select("label"), "label", "left_semi")
+        return graph.contexts(own, MIN_SENSE_TRAIN, by="source")
+
+    def export(self, rows: DataFrame, samples: DataFrame, header: dict[str, str]) -> None:
+        for name in [r[0] for r in samples.select("group_name").distinct().collect()]:  # the profile's groups
+            ids = samples.where(F.col("group_name") == name).select(F.col("id").alias("source"))
+            export_csv(rows.join(ids, "source", "left_semi"), f"{self.tables.path}/csv", self.language.code, name, header)
+
+    def used_pages(self) -> DataFrame:
+        """(id): the articles of all groups of word-sense examples."""
+        return self.tables.read("sample").select("id").distinct()
 
     def training(self) -> None:
         """7. Word-sense examples of sampled articles."""
-        g, profile = self.graph(MIN_SENSE_TRAIN), self.language.profile
-        texts = self.tables.read("markup").select(F.col("page_id").alias("id"), "text", "wikitext")
-        samples = tr.disjoint_samples(tr.eligible(self.page, g.link, texts, profile), profile.disambiguator_groups)
-        samples = self.tables.write("sample", samples)
+        g, t = self.graph(MIN_SENSE_TRAIN), self.tables
+        samples = t.write("sample", self.sampled(self.language.profile.disambiguator_groups, g))
         links = g.link.join(samples.select(F.col("id").alias("source")), "source", "left_semi")
-        own = links.select("source", F.col("anchor_text").alias("label")).distinct().join(g.usable.select("label"), "label", "left_semi")
-        context = cx.contexts(own, g.labels, g.senses, gr.in_degree(g.link), cx.date_labels(self.spark), g.weighted, g.sizes, g.n_articles, MIN_SENSE_TRAIN, by="source")
-        context = self.tables.write("sense_training_context_page", context)
+        context = t.write("sense_training_context_page", self.own_contexts(links, g))
         pages = links.select("source", F.col("anchor_text").alias("label")).distinct().join(g.senses, "label").select("source", F.col("destination").alias("page_id")).distinct()
-        pairs = pages.select("source", F.col("page_id").alias("x")).join(context.select("source", F.col("page_id").alias("y")), "source").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        related = rl.to_context(pages, context, rl.both_ways(rl.compare(pairs, g.weighted, g.sizes, g.n_articles)), "source")
-        out = self.tables.write("sense_training_example", tr.sense_examples(links, g.senses, related, cx.quality(context, "source"), MIN_SENSE_TRAIN))
-        for name, _ in profile.disambiguator_groups:
-            ids = samples.where(F.col("group_name") == name).select(F.col("id").alias("source"))
-            export_csv(out.join(ids, "source", "left_semi"), f"{self.tables.path}/csv", self.language.code, name)
+        related = rl.to_context(pages, context, g.against(pages, context, "source"), "source")
+        out = t.write("sense_training_example", tr.sense_examples(links, g.senses, related, cx.quality(context, "source"), MIN_SENSE_TRAIN))
+        self.export(out, samples, SENSE_HEADER)
+
+    def link_training(self, ranker=None) -> DataFrame:
+        """Link examples of sampled articles, none of which gave word-sense examples: the ten features of every topic
+        that is an article, and whether the page links to it. Senses are ranked by a trained model, if one is given.
+        Runs behind the phases and may be repeated."""
+        self.check()
+        g, t = self.graph(MIN_SENSE_TRAIN), self.tables
+        samples = t.write("link_sample", self.sampled(self.language.profile.linking_groups, g, self.used_pages()))
+        ids = samples.select(F.col("id").alias("page_id"))
+        docs = t.read("markup").join(ids, "page_id", "left_semi").select(F.col("page_id").alias("doc_id"), F.col("wikitext").alias("text"))
+        links = g.link.join(samples.select(F.col("id").alias("source")), "source", "left_semi")
+        context = t.write("link_training_context_page", self.own_contexts(links, g))
+        sums = samples.withColumnRenamed("id", "source").join(cx.quality(context, "source"), "source", "left").fillna(0)
+        t.write("link_training_context", sums)
+        parts = document_parts(docs, g, MIN_SENSE_TRAIN, ranker, context=context.withColumnRenamed("source", "doc_id"))
+        out = t.write("link_training_example", tr.link_examples(parts["links"].withColumnRenamed("doc_id", "source"), links, self.page))
+        self.export(out, samples, LINK_HEADER)
+        return out
+
+    def check(self, last: int = 7) -> None:
+        """An error unless the phases up to ``last`` are completed."""
+        if lost := [n for n in range(1, last + 1) if self.ledger.state(n) != "COMPLETED"]:
+            raise ValueError(f"phases {lost} of {self.tables.path} aren't completed")
 
     @property
     def phases(self) -> list[Callable[[], None]]:

@@ -18,6 +18,16 @@ def date_labels(spark: SparkSession) -> DataFrame:
     return days.select(F.date_format("d", "MMMM d").alias("label"))
 
 
+def date_pages(page: DataFrame, dates: DataFrame) -> DataFrame:
+    """(page_id) of the pages whose title is a date: at most as many as there are dates and redirects to them."""
+    return page.join(F.broadcast(dates.withColumnRenamed("label", "title")), "title", "left_semi").select(F.col("id").alias("page_id"))  # 366 rows
+
+
+def dates_of(spark: SparkSession, code: str) -> DataFrame:
+    """The date labels of a language."""
+    return french_date_labels(spark) if code == "fr" else date_labels(spark)
+
+
 #: Months in French.
 FRENCH_MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
 
@@ -62,9 +72,9 @@ def reranked(rows: DataFrame, compared: DataFrame, size: int = CONTEXT_SIZE, by:
     return capped(joined, size, by)
 
 
-def contexts(doc_labels: DataFrame, labels: DataFrame, senses: DataFrame, degrees: DataFrame, dates: DataFrame, weighted: DataFrame, sizes: DataFrame, n_articles: int, least: float, broad: bool = False, by: str = "doc_id") -> DataFrame:
+def contexts(doc_labels: DataFrame, labels: DataFrame, senses: DataFrame, degrees: DataFrame, dates: DataFrame, weighted: DataFrame, sizes: DataFrame, n_articles: int, least: float, broad: bool = False, by: str = "doc_id", date_pages: DataFrame | None = None) -> DataFrame:
     """The whole way from labels to a context of each document."""
-    first = candidates(doc_labels, labels, senses, degrees, dates, least, broad, by=by)
+    first = candidates(doc_labels, labels, senses, degrees, dates, least, broad, date_pages=date_pages, by=by)
     return reranked(first, both_ways(compare(pairs_within(first, by), weighted, sizes, n_articles)), by=by)
 
 

@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MAX_NGRAM_TOKENS, MIN_LINK_PROBABILITY
 from ..functions.measures import link_probability
-from ..functions.ngrams import candidates, counted_ngrams
-from ..functions.text import tokens
+from ..functions.ngrams import candidates, counted_ngrams, filter_bits, placed_ngrams
+from ..functions.text import capitalize_first, tokens, uncapitalize_first
 from .ordering import numbered
 
-#: Labels that workers may hold as a set; with more of them n-grams meet the labels in a join alone.
-KNOWN = 500_000
+#: Bits of a filter for each label, and most bits of one: 32 MB, however many labels there are.
+BITS_EACH, MOST_BITS = 32, 1 << 28
 
 
 def vocabulary(labels: DataFrame) -> tuple[int, object]:
-    """(tokens of the longest label, the labels as a broadcast set, or None if there are too many)."""
+    """(tokens of the longest label, filters of the labels and of their caseless forms, broadcast). The filters are made
+    on the workers and have at most MOST_BITS each; what they let through meets the labels in a join."""
     row = labels.agg(F.max(F.size(tokens(F.col("label")))).alias("longest"), F.count("*").alias("n")).first()
-    longest = min(row["longest"] or 0, MAX_NGRAM_TOKENS)
-    if row["n"] > KNOWN:
-        return longest, None
-    return longest, labels.sparkSession.sparkContext.broadcast({r[0] for r in labels.select("label").collect()})
+    size = min(MOST_BITS, 1 << (BITS_EACH * max(row["n"], 32) - 1).bit_length())
+    words = np.zeros((2, size >> 5), "<u4")
+    set_ = filter_bits(labels, size).toArrow()  # at most a row for each word of the filters
+    words[np.asarray(set_["kind"]), np.asarray(set_["word"])] = np.asarray(set_["bits"])
+    return min(row["longest"] or 0, MAX_NGRAM_TOKENS), labels.sparkSession.sparkContext.broadcast(tuple(w.tobytes() for w in words))
 
 
 def label_occurrences(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, label, n): how often each label stands in a document, as a run of tokens in a line."""
     longest, known = vocabulary(labels)
     found = counted_ngrams(docs, longest, known, id_col, text_col).withColumnRenamed("content", "label")
-    return found if known else found.join(labels.select("label").distinct(), "label", "left_semi")
+    return found.join(labels.select("label").distinct(), "label", "left_semi")
+
+
+def label_places(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, end, label): where labels stand as runs of tokens in a line, as written and, if that is a label too,
+    with the first letter's case turned."""
+    only = labels.select("label").distinct()
+    longest, known = vocabulary(only)
+    found = placed_ngrams(docs, longest, known, id_col, text_col).withColumnRenamed("content", "label").join(only, "label", "left_semi")
+    forms = F.array_distinct(F.array("label", capitalize_first(F.col("label")), uncapitalize_first(F.col("label"))))
+    return found.select(id_col, "start", "end", F.explode(forms).alias("label")).join(only, "label", "left_semi").select(id_col, "start", "end", "label")
 
 
 def occurrence_stats(occurrences: DataFrame) -> DataFrame:

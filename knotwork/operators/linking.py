@@ -43,6 +43,12 @@ def sense_candidates(labels: DataFrame, senses: DataFrame, context: DataFrame, c
     return own.join(related, [by, "page_id"], "left").join(qualities, by, "left").fillna(0.0, [*MEASURES, "relatedness", "context_quality"])
 
 
+def faulty_groups(candidates: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(doc_id, label, problem) of groups that can't be ranked: with a page twice, or without any page."""
+    sized = candidates.groupBy(by, "label").agg(F.count("page_id").alias("n"), F.count_distinct("page_id").alias("k"))
+    return sized.where("n = 0 or n > k").select(by, "label", F.when(F.col("n") == 0, "empty").otherwise("duplicate").alias("problem"))
+
+
 def best_senses(candidates: DataFrame, score: Column, by: str = "doc_id") -> DataFrame:
     """(doc_id, label, page_id, confidence): the sense of the highest score, with its share in the softmax; a label's
     only sense has 1. Of equal ones the smallest page."""

@@ -21,10 +21,18 @@ def vectors(link: DataFrame, n_articles: int) -> tuple[DataFrame, DataFrame]:
 
 
 def common_links(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
-    """(a, b, dir, common, dot, square_a, square_b) of pairs (a, b) that share links."""
-    of_a = weighted.select(F.col("page_id").alias("a"), "dir", "link", F.col("w").alias("wa"))
-    of_b = weighted.select(F.col("page_id").alias("b"), "dir", "link", F.col("w").alias("wb"))
-    return link_sums(pairs.select("a", "b").join(of_a, "a").join(of_b, ["b", "dir", "link"]))
+    """(a, b, dir, common, dot, square_a, square_b) of pairs (a, b) that share links. Of each pair the page with fewer
+    links is expanded to them, so a hub costs its partners' links and not its own."""
+    sizes = weighted.groupBy("dir", "page_id").agg(F.count("*").alias("n"))
+    size = lambda side: sizes.select("dir", F.col("page_id").alias(side), F.col("n").alias(f"n_{side}"))
+    sided = pairs.select("a", "b").join(size("a"), "a").join(size("b"), ["dir", "b"])
+    flip = F.col("n_a") > F.col("n_b")
+    sided = sided.select("a", "b", "dir", F.when(flip, F.col("b")).otherwise(F.col("a")).alias("few"), F.when(flip, F.col("a")).otherwise(F.col("b")).alias("many"))
+    few = weighted.select(F.col("page_id").alias("few"), "dir", "link", F.col("w").alias("w_few"))
+    many = weighted.select(F.col("page_id").alias("many"), "dir", "link", F.col("w").alias("w_many"))
+    met = sided.join(few, ["dir", "few"]).join(many, ["dir", "many", "link"])
+    first = F.col("few") == F.col("a")
+    return link_sums(met.select("a", "b", "dir", F.when(first, F.col("w_few")).otherwise(F.col("w_many")).alias("wa"), F.when(first, F.col("w_many")).otherwise(F.col("w_few")).alias("wb")))
 
 
 def all_common_links(weighted: DataFrame) -> DataFrame:

@@ -50,6 +50,12 @@ def site_info(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
+def unseen_namespaces(pages: DataFrame, namespace: DataFrame) -> DataFrame:
+    """(id, casing, name): namespaces that pages (namespace_id) stand in and that the header doesn't name."""
+    used = pages.select(F.col("namespace_id").alias("id")).distinct().join(namespace.select("id"), "id", "left_anti")
+    return used.select("id", F.lit("FIRST_LETTER").alias("casing"), F.lit("").alias("name"))
+
+
 def casing(case: Column) -> Column:
     return F.when(case == "first-letter", "FIRST_LETTER").when(case == "case-sensitive", "CASE_SENSITIVE")
 
