@@ -152,6 +152,22 @@ class Wiki:
         """(doc_id, label): the usable labels that occur in each document."""
         return self.occurrences.join(self.usable.select("label"), "label", "left_semi").select("doc_id", "label")
 
+    @property
+    def spans(self) -> DataFrame:
+        """(doc_id, start, end, label): where usable labels stand."""
+        return self.once("spans", lambda: lb.label_places(self.documents, self.usable))
+
+    @property
+    def linked(self) -> dict[str, DataFrame]:
+        """resolved and links of the documents, from the places of their labels and their contexts."""
+        from ..api import Graph, linked_parts
+
+        if "links" not in self.made:
+            parts = linked_parts(self.documents, self.spans, self.context, Graph.of_wiki(self), LEAST_SENSE)
+            self.made["resolved"] = parts["resolved"]
+            self.once("links", lambda: parts["links"])
+        return self.made
+
     def candidates(self, broad: bool = False) -> DataFrame:
         return self.once(f"candidates{broad}", lambda: cx.candidates(self.doc_labels, self.labels, self.senses, gr.in_degree(self.link), cx.date_labels(self.spark), LEAST_SENSE, broad))
 
@@ -207,7 +223,6 @@ CTES = {
     "degree": "SELECT 'in' AS dir, destination AS link, count(DISTINCT source) AS degree FROM wlink GROUP BY 2 UNION ALL SELECT 'out', source, count(DISTINCT destination) FROM wlink GROUP BY 2",
     "weighted": "SELECT dir, page_id, link, (0.5 + 0.5 * cnt / most) * ln(n_articles / degree) AS w FROM arm JOIN degree USING (dir, link) CROSS JOIN articles",
     "size": "SELECT dir, page_id, count(*) AS size FROM arm GROUP BY ALL",
-    "all_pairs": "SELECT x.id AS a, y.id AS b FROM wpage x JOIN wpage y ON x.id < y.id WHERE y.id <= 80",
     "doc_label": "SELECT DISTINCT doc_id, label FROM occurrence WHERE label IN (SELECT label FROM usable)",
     "in_degree": "SELECT destination AS page_id, count(DISTINCT source) AS n FROM wlink GROUP BY 1",
     "candidate": "SELECT doc_id, page_id, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, page_id) AS place FROM (SELECT doc_id, destination AS page_id, max((link_probability + commonness) / 2) AS weight FROM doc_label JOIN wlabel USING (label) JOIN wsense USING (label) GROUP BY ALL)) WHERE place <= 125",
@@ -249,6 +264,43 @@ CTES["soft_sense"] = "SELECT *, exp(score - max(score) OVER (PARTITION BY doc_id
 CTES["best_sense"] = "SELECT doc_id, label, page_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY round(score, 9) DESC, page_id) AS place FROM soft_sense) WHERE place = 1"
 
 
+# labels by place: resolved, rolled up to topics, and the topics' measures against contexts and each other
+CTES |= {
+    "line_at": "SELECT doc_id, li, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY li ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM line",
+    "piece_at": "SELECT doc_id, li, i, base + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, li ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM piece JOIN line_at USING (doc_id, li)",
+    "written": 'SELECT doc_id, begins::INT AS start, (begins + length(content))::INT AS "end", content AS label FROM (SELECT doc_id, li, i, piece AS content FROM token UNION ALL SELECT t.doc_id, t.li, t.i, t.piece || coalesce(s.piece, \'\') || t.after FROM token t LEFT JOIN piece s ON t.gap AND s.doc_id = t.doc_id AND s.li = t.li AND s.i = t.i + 1 WHERE t.after IS NOT NULL) JOIN piece_at USING (doc_id, li, i) WHERE content IN (SELECT label FROM usable)',
+    "span": 'SELECT doc_id, start, "end", label FROM (SELECT DISTINCT doc_id, start, "end", unnest([label, upper(left(label, 1)) || substr(label, 2), lower(left(label, 1)) || substr(label, 2)]) AS label FROM written) WHERE label IN (SELECT label FROM usable)',
+    "heard": "SELECT doc_id, start, \"end\", label FROM span WHERE label IN (SELECT label FROM wsense GROUP BY label HAVING max(commonness) > 0.02)",
+    "heard_label": "SELECT DISTINCT doc_id, label FROM heard",
+    "span_page": "SELECT DISTINCT doc_id, destination AS page_id FROM span JOIN wsense USING (label)",
+    "against_pair": "SELECT DISTINCT least(o.page_id, x.page_id) AS a, greatest(o.page_id, x.page_id) AS b FROM span_page o JOIN context x ON x.doc_id = o.doc_id AND x.page_id <> o.page_id",
+    "against_half": compared_sql("against_pair"),
+    "against": "SELECT a, b, in_vector, out_vector, in_distance, out_distance, mean FROM against_half UNION ALL SELECT b, a, in_vector, out_vector, in_distance, out_distance, mean FROM against_half",
+}
+for _name, _body in [(n, CTES[n]) for n in ("sense_related", "scored_sense", "soft_sense", "best_sense")]:
+    for _old, _new in (("compared", "against"), ("doc_label", "heard_label"), ("FROM sense_related", "FROM heard_related"), ("scored_sense", "heard_scored"), ("soft_sense", "heard_soft")):
+        _body = _body.replace(_old, _new)
+    CTES[{"sense_related": "heard_related", "scored_sense": "heard_scored", "soft_sense": "heard_soft", "best_sense": "heard_best"}[_name]] = _body
+CTES |= {
+    "resolved": 'SELECT doc_id, start, "end", label, page_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start, "end" ORDER BY round(confidence, 9) DESC, label) AS place FROM heard JOIN heard_best USING (doc_id, label)) WHERE place = 1',
+    "surface": "SELECT doc_id, page_id, label, count(*) AS spans, max(confidence) AS most, sum(confidence) AS total, min(start) AS first, max(start) AS last, min(link_probability) AS p FROM resolved JOIN wlabel USING (label) WHERE link_probability > 0.02 GROUP BY ALL",
+    "topic": "SELECT doc_id, page_id, ln(sum(((length(text) - length(replace(text, label, ''))) // length(label)) * spans) + 1) AS normalized_occurrences, max(most) AS max_confidence, sum(total) / sum(spans) AS avg_confidence, avg(p) AS avg_link_probability, max(p) AS max_link_probability, min(first) / max(length(text)) AS first_occurrence, max(last) / max(length(text)) AS last_occurrence, max(last) / max(length(text)) - min(first) / max(length(text)) AS spread, string_agg(label, '|' ORDER BY label) AS forms FROM surface JOIN documents USING (doc_id) GROUP BY ALL",
+    "other": "SELECT doc_id, page_id, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, page_id) AS place FROM (SELECT doc_id, page_id, avg_link_probability * normalized_occurrences AS w FROM topic)) WHERE place <= 25",
+    "topic_pair": "SELECT DISTINCT least(t.page_id, o.page_id) AS a, greatest(t.page_id, o.page_id) AS b FROM topic t JOIN other o ON o.doc_id = t.doc_id AND o.page_id <> t.page_id",
+    "topic_half": compared_sql("topic_pair"),
+    "topic_compared": "SELECT a, b, mean FROM topic_half UNION ALL SELECT b, a, mean FROM topic_half",
+    "to_others": "SELECT t.doc_id, t.page_id, CASE WHEN sum(o.w) > 0 THEN sum(coalesce(mean * o.w, 0)) / count(*) ELSE 0 END AS relatedness_to_others FROM topic t JOIN other o ON o.doc_id = t.doc_id LEFT JOIN topic_compared ON a = t.page_id AND b = o.page_id GROUP BY ALL",
+    "to_context": "SELECT doc_id, page_id, CASE WHEN quality > 0 THEN relatedness ELSE 0 END AS relatedness_to_context FROM heard_related",
+    "feature": "SELECT *, 1 / (1 + exp(-(3 * avg_link_probability + 2 * relatedness_to_context + 2 * relatedness_to_others + avg_confidence + 0.5 * normalized_occurrences - 3))) AS prediction FROM (SELECT t.*, coalesce(relatedness_to_context, 0) AS relatedness_to_context, relatedness_to_others FROM topic t JOIN to_others USING (doc_id, page_id) LEFT JOIN to_context USING (doc_id, page_id))",
+}
+
+#: Views of n-grams of up to ten tokens.
+CTES |= {
+    "run": "SELECT doc_id, p, list_filter(range(1, len(p) + 1), lambda k: NOT regexp_matches(p[k], '^[ \\t\\n\\r\\f]+$')) AS t FROM (SELECT doc_id, regexp_extract_all(line, '" + PIECE_SQL + "') AS p FROM line)",
+    "ngram10": "SELECT doc_id, array_to_string(p[t[a]:t[b]], '') AS content FROM (SELECT doc_id, p, t, a, unnest(range(a, least(a + 10, len(t) + 1))) AS b FROM (SELECT doc_id, p, t, unnest(range(1, len(t) + 1)) AS a FROM run))",
+}
+
+
 WALK = "walk(title, goes, hops) AS (SELECT title, redirect_target, 1 FROM redirecting WHERE page_type = 3 UNION ALL SELECT w.title, r.redirect_target, w.hops + 1 FROM walk w JOIN redirecting r ON r.title = w.goes AND r.page_type = 3 WHERE w.hops < 16)"
 
 

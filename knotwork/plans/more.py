@@ -15,7 +15,7 @@ from ..operators import training as tr
 from ..sources import tables as st
 from ..storage import new_path
 from .bridge import Star, Wiki, table
-from .queries import TOPIC, query, r, rolled_topics
+from .queries import list_items, query, r
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k = 1")
@@ -102,7 +102,8 @@ def first_letter_case(spark, sf_dir):
 
 @query(r"SELECT doc_id, CASE WHEN long > 0 THEN round(items / long, 6) ELSE 1 END AS ratio FROM (SELECT doc_id, len(list_filter(l, lambda x: length(trim(replace(replace(x, ':', ' '), ';', ' '))) > 5)) AS long, len(list_filter(l, lambda x: regexp_matches(x, '^[*#:;]'))) AS items FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
 def list_ratios(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", r(tr.list_ratio(F.col("text"))).alias("ratio"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(list_items(docs), "doc_id").select("doc_id", r(tr.list_ratio(F.col("text"), F.col("list_items"))).alias("ratio"))
 
 
 @query("SELECT id, 'both' AS kind FROM (SELECT page_id AS id FROM pages INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT id, 'unlabelled' FROM (SELECT page_id AS id FROM pages EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT id, 'any' FROM (SELECT page_id AS id FROM pages UNION SELECT doc_id FROM labels)")
@@ -129,22 +130,6 @@ def context_categories(spark, sf_dir):
     return gr.related_categories(ids, wiki.page, wiki.link).withColumn("score", r("score"))
 
 
-@query("SELECT doc_id, page_id, string_agg(label, '|' ORDER BY label) AS forms FROM best_sense GROUP BY ALL")
-def surface_forms(spark, sf_dir):
-    wiki = Wiki(spark, sf_dir)
-    best = lk.best_senses(lk.sense_candidates(wiki.doc_labels, wiki.senses, wiki.context, wiki.compared), lk.linear_score(lk.SENSE_WEIGHTS))
-    return best.groupBy("doc_id", "page_id").agg(F.array_join(F.array_sort(F.collect_list("label")), "|").alias("forms"))
-
-
-@query(f"SELECT doc_id, page_id, round(avg_link_probability * normalized_occurrences, 6) AS weight, round(1 / (1 + exp(-(3 * avg_link_probability + avg_confidence + 0.5 * normalized_occurrences - 3))), 6) AS prediction FROM ({TOPIC}) WHERE 1 / (1 + exp(-(3 * avg_link_probability + avg_confidence + 0.5 * normalized_occurrences - 3))) > 0.25")
-def likely_links(spark, sf_dir):
-    from ..api import likely_links as cut
-
-    found = rolled_topics(Wiki(spark, sf_dir)).withColumns({"relatedness_to_context": F.lit(0.0), "relatedness_to_others": F.lit(0.0)})
-    weight = me.topic_weight(F.col("avg_link_probability"), F.col("normalized_occurrences"))
-    return cut(lk.predicted(found)).select("doc_id", "page_id", r(weight).alias("weight"), r("prediction").alias("prediction"))
-
-
 @query("SELECT doc_id, quality, toxic FROM labels WHERE quality = 1")
 def csv_export(spark, sf_dir):
     """A training group written as CSV with a header, and read back."""
@@ -190,11 +175,6 @@ def top_candidates(spark, sf_dir):
     return cx.capped(Wiki(spark, sf_dir).candidates(), 5).withColumn("weight", r("weight"))
 
 
-@query("SELECT x.dir, x.page_id, x.link, round(x.w, 6) AS w FROM weighted x WHERE x.page_id <= 80")
-def link_weights(spark, sf_dir):
-    return Wiki(spark, sf_dir).vectors[0].where("page_id <= 80").withColumn("w", r("w"))
-
-
 @query("SELECT dir, page_id, link, cnt::BIGINT AS cnt, most::BIGINT AS most FROM arm")
 def link_multiplicity(spark, sf_dir):
     return gr.multiplicities(Wiki(spark, sf_dir).link)
@@ -205,6 +185,6 @@ def symmetric_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.least("user_id", "event_id").alias("a"), F.greatest("user_id", "event_id").alias("b"))
 
 
-@query("SELECT doc_id, md5(clean) AS clean_md5 FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS clean FROM documents)")
+@query("SELECT doc_id, md5(clean) AS clean_md5 FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '(\\n\\s*){3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS clean FROM documents)")
 def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.clean_text(F.col("text")).cast("binary")).alias("clean_md5"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..config import ENGLISH, TrainingProfile
 from ..functions import measures as me
 from ..functions import text as tx
-from ..functions.ngrams import counted_ngrams
 from ..operators import context as cx
 from ..operators import evaluation as ev
 from ..operators import graph as gr
@@ -19,7 +18,7 @@ from ..operators import linking as lk
 from ..operators import relatedness as rl
 from ..operators import titles as tt
 from ..operators import training as tr
-from .bridge import CTES, Star, Wiki, clean_sql, compared_sql, key_sql, table, with_ctes
+from .bridge import Star, Wiki, clean_sql, key_sql, table, with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,17 +41,6 @@ def r(c, digits: int = 6):
 # graph
 
 
-@query(
-    "SELECT id AS category_id, title, round(f / n * ln(f + 1), 6) AS score, f::BIGINT AS frequency FROM (SELECT p.id, p.title, count(*) AS f FROM link JOIN page p ON p.id = destination WHERE p.page_type = 2 AND source IN (SELECT 2000000000 + c_custkey FROM customer WHERE c_custkey % 5 = 0) GROUP BY ALL), (SELECT count(*) AS n FROM customer WHERE c_custkey % 5 = 0) ORDER BY f / n * ln(f + 1) DESC, id LIMIT 20"
-)
-def related_categories(spark, sf_dir):
-    """The top 20 is the query itself; the ids asked for are every fifth customer, and all nations, which are no articles."""
-    star = Star(spark, sf_dir)
-    ids = star.of("customer").where("c_custkey % 5 = 0").select((F.lit(2_000_000_000) + F.col("c_custkey")).alias("id"))
-    ids = ids.unionByName(star.of("nation").select((F.lit(5_000_000_000) + F.col("n_nationkey")).alias("id")))
-    return gr.related_categories(ids, star.page, star.link).withColumn("score", r("score"))
-
-
 @query("SELECT destination AS page_id, count(DISTINCT source)::BIGINT AS n FROM link GROUP BY 1")
 def in_degree(spark, sf_dir):
     return gr.in_degree(Star(spark, sf_dir).link)
@@ -134,13 +122,13 @@ def letters_digits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(plain.cast("binary")).alias("plain_md5"), F.length(plain).cast("long").alias("n"))
 
 
-WIKITEXT = "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '{{' || lang || '|x}} ' || source || ' {{' || CASE doc_id % 5 WHEN 0 THEN 'Disambiguation' WHEN 1 THEN 'geodis|' || source ELSE source END || '}}' END AS wikitext, doc_id % 4 AS ns, CASE WHEN doc_id % 11 = 0 THEN source END AS redirect FROM documents"
+WIKITEXT = "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '{{' || lang || '|x}} ' || source || ' {{' || CASE doc_id % 5 WHEN 0 THEN 'Disambiguation' WHEN 1 THEN 'geodis|' || source WHEN 2 THEN 'Airport disambiguation' WHEN 3 THEN 'hndis' ELSE source END || '}}' END AS wikitext, doc_id % 4 AS ns, CASE WHEN doc_id % 11 = 0 THEN source END AS redirect FROM documents"
 
 
 def wikitexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 5
-    last = F.when(k == 0, "Disambiguation").when(k == 1, F.concat(F.lit("geodis|"), "source")).otherwise(F.col("source"))
+    last = F.when(k == 0, "Disambiguation").when(k == 1, F.concat(F.lit("geodis|"), "source")).when(k == 2, "Airport disambiguation").when(k == 3, "hndis").otherwise(F.col("source"))
     whole = F.concat(F.lit("{{"), "lang", F.lit("|x}} "), "source", F.lit(" {{"), last, F.lit("}}"))
     return d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 != 0, whole).alias("wikitext"), (F.col("doc_id") % 4).alias("ns"), F.when(F.col("doc_id") % 11 == 0, F.col("source")).alias("redirect"))
 
@@ -167,7 +155,7 @@ def above_average_transclusions(spark, sf_dir):
 NS = "CASE ns WHEN 0 THEN 0 WHEN 1 THEN 14 WHEN 2 THEN 10 ELSE 6 END"
 
 
-@query(f"SELECT id, CASE WHEN redirect IS NOT NULL THEN 3 WHEN {NS} = 14 THEN 2 WHEN {NS} = 10 THEN 5 WHEN {NS} = 0 THEN CASE WHEN lower(split_part(last, '|', 1)) IN ('disambiguation', 'disambig', 'dab', 'geodis', 'hndis') THEN 4 ELSE 1 END ELSE 8 END AS page_type FROM ({LAST})")
+@query(f"SELECT id, CASE WHEN redirect IS NOT NULL THEN 3 WHEN {NS} = 14 THEN 2 WHEN {NS} = 10 THEN 5 WHEN {NS} = 0 THEN CASE WHEN lower(split_part(last, '|', 1)) IN ('dab', 'disambiguation', 'disambig', 'geodis', 'schooldis', 'call sign disambiguation', 'airport disambiguation', 'genus disambiguation', 'school disambiguation') THEN 4 ELSE 1 END ELSE 8 END AS page_type FROM ({LAST})")
 def page_type_inference(spark, sf_dir):
     ns = F.when(F.col("ns") == 0, 0).when(F.col("ns") == 1, 14).when(F.col("ns") == 2, 10).otherwise(6)
     return wikitexts(spark, sf_dir).select("id", tt.page_type(ns, F.col("redirect"), tx.last_transclusion(F.col("wikitext")), ENGLISH.disambiguation_prefixes).alias("page_type"))
@@ -220,8 +208,11 @@ def pages_by_type(spark, sf_dir):
 @query("SELECT page_id, strlen(html)::BIGINT AS n_bytes FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)")
 def resume_scan(spark, sf_dir):
     """Pages that no earlier run has stored; the labelled ids stand for those that it has."""
+    from ..sources.dump import remaining
+
     done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"))
-    return table(spark, sf_dir, "pages").join(done, "page_id", "left_anti").select("page_id", F.octet_length("html").cast("long").alias("n_bytes"))
+    left = remaining(table(spark, sf_dir, "pages").withColumnRenamed("page_id", "id"), done)
+    return left.select(F.col("id").alias("page_id"), F.octet_length("html").cast("long").alias("n_bytes"))
 
 
 # tokens, n-grams, labels
@@ -233,27 +224,11 @@ def tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.md5(F.array_join(found, " ").cast("binary")).alias("tokens_md5"))
 
 
-@query("SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT content)::BIGINT AS n_distinct, max(content) AS last FROM ngram GROUP BY 1")
-def ngrams_line(spark, sf_dir):
-    found = counted_ngrams(table(spark, sf_dir, "documents"), 2)
-    return found.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"), F.max("content").alias("last"))
-
-
 @query("SELECT doc_id, label, n FROM occurrence")
 def ngrams_vocab(spark, sf_dir):
     return Wiki(spark, sf_dir).occurrences
 
 
-CASE_SQL = r"""CASE WHEN len(w) = 0 THEN 'MIXED' WHEN len(list_filter(w, lambda t: NOT regexp_matches(t, '^\p{Lu}+$'))) = 0 THEN 'UPPER' WHEN len(list_filter(w, lambda t: NOT regexp_matches(t, '^\p{Ll}+$'))) = 0 THEN 'LOWER' WHEN len(list_filter(w, lambda t: NOT regexp_matches(t, '^\p{Lu}+$|^\p{Lu}\p{Ll}*$'))) = 0 THEN 'UPPER_FIRST' ELSE 'MIXED' END"""
-CASED = r"SELECT *, list_filter(regexp_extract_all(content, '[\p{L}\p{M}]+|\p{N}+|[^ \t\n\r\f]'), lambda t: regexp_matches(t, '\p{L}')) AS w FROM (SELECT DISTINCT content FROM ngram)"
-
-
-@query(f"SELECT content, {CASE_SQL} AS case_context FROM ({CASED})")
-def case_context(spark, sf_dir):
-    found = counted_ngrams(table(spark, sf_dir, "documents"), 2).select("content").distinct()
-    return found.select("content", tx.case_of(tx.tokens(F.col("content"))).alias("case_context"))
-
-
 @query("SELECT p_partkey AS id, array_to_string(list_sort(list_distinct([x FOR x IN [upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2), upper(left(p_name, 1)) || substr(p_name, 2)] IF x <> CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END])), '|') AS variants FROM part")
 def case_variants(spark, sf_dir):
     name = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name"))
@@ -294,45 +269,6 @@ def date_labels(spark, sf_dir):
     return cx.date_labels(spark)
 
 
-# relatedness
-
-
-def all_pairs(wiki: Wiki) -> DataFrame:
-    """Pairs of the 81 pages of the smallest ids: the set of pairs asked about."""
-    ids = wiki.page.where("id <= 80").select("id")
-    return ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
-
-
-@query("SELECT a, b, x.dir, count(*)::BIGINT AS common FROM all_pairs JOIN weighted x ON x.page_id = a JOIN weighted y ON y.page_id = b AND y.dir = x.dir AND y.link = x.link GROUP BY ALL")
-def common_links(spark, sf_dir):
-    wiki = Wiki(spark, sf_dir)
-    return rl.common_links(all_pairs(wiki), wiki.vectors[0]).select("a", "b", "dir", "common")
-
-
-@query("SELECT a, b, x.dir, round(sum(x.w * y.w) / sqrt(sum(x.w * x.w) * sum(y.w * y.w)), 6) AS cosine FROM all_pairs JOIN weighted x ON x.page_id = a JOIN weighted y ON y.page_id = b AND y.dir = x.dir AND y.link = x.link GROUP BY ALL HAVING sum(x.w * x.w) > 0 AND sum(y.w * y.w) > 0")
-def lf_iaf_cosine(spark, sf_dir):
-    wiki = Wiki(spark, sf_dir)
-    found = rl.common_links(all_pairs(wiki), wiki.vectors[0]).where("square_a > 0 and square_b > 0")
-    return found.select("a", "b", "dir", r(me.cosine(F.col("dot"), F.col("square_a"), F.col("square_b"))).alias("cosine"))
-
-
-def page_comparison_sql() -> str:
-    CTES["compared_all"] = compared_sql("all_pairs")
-    return "SELECT a, b, round(in_vector, 6) AS in_vector, round(out_vector, 6) AS out_vector, round(in_distance, 6) AS in_distance, round(out_distance, 6) AS out_distance, round(mean, 6) AS mean FROM compared_all"
-
-
-@query(page_comparison_sql())
-def page_comparison(spark, sf_dir):
-    wiki = Wiki(spark, sf_dir)
-    out = rl.compare(all_pairs(wiki), *wiki.vectors, wiki.n_articles)
-    return out.select("a", "b", *(r(c).alias(c) for c in (*rl.MEASURES, "mean")))
-
-
-@query("SELECT a, b, round(in_distance, 6) AS in_distance, round(out_distance, 6) AS out_distance FROM compared_all")
-def link_distance(spark, sf_dir):
-    return page_comparison(spark, sf_dir).select("a", "b", "in_distance", "out_distance")
-
-
 # contexts, senses, topics
 
 
@@ -380,47 +316,6 @@ def resolve_best_sense(spark, sf_dir):
     return best.withColumn("confidence", r("confidence"))
 
 
-TOPIC = "SELECT doc_id, page_id, ln(sum(n * n) + 1) AS normalized_occurrences, max(confidence) AS max_confidence, sum(confidence * n) / sum(n) AS avg_confidence, avg(link_probability) AS avg_link_probability, max(link_probability) AS max_link_probability FROM (SELECT doc_id, label, page_id, confidence, link_probability, n FROM best_sense JOIN wlabel USING (label) JOIN occurrence USING (doc_id, label) WHERE link_probability > 0.02) GROUP BY ALL"
-
-
-def rolled_topics(wiki: Wiki, best: DataFrame | None = None) -> DataFrame:
-    """Topics from counted labels: every occurrence is a span, so a label's matches count once for each of them."""
-    best = lk.best_senses(sense_features(wiki), lk.linear_score(lk.SENSE_WEIGHTS)) if best is None else best
-    rows = best.join(wiki.labels.where("link_probability > 0.02").select("label", "link_probability"), "label").join(wiki.occurrences, ["doc_id", "label"])
-    return rows.groupBy("doc_id", "page_id").agg(F.log(F.sum(F.col("n") * F.col("n")) + 1).alias("normalized_occurrences"), F.max("confidence").alias("max_confidence"), (F.sum(F.col("confidence") * F.col("n")) / F.sum("n")).alias("avg_confidence"), F.avg("link_probability").alias("avg_link_probability"), F.max("link_probability").alias("max_link_probability"))
-
-
-@query(f"SELECT doc_id, page_id, round(normalized_occurrences, 6) AS normalized_occurrences, round(max_confidence, 6) AS max_confidence, round(avg_confidence, 6) AS avg_confidence, round(avg_link_probability, 6) AS avg_link_probability, round(max_link_probability, 6) AS max_link_probability FROM ({TOPIC})")
-def topic_features(spark, sf_dir):
-    rows = rolled_topics(Wiki(spark, sf_dir))
-    return rows.select("doc_id", "page_id", *(r(c).alias(c) for c in rows.columns[2:]))
-
-
-@query(f"SELECT doc_id, page_id, round(w, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, page_id) AS place FROM (SELECT doc_id, page_id, avg_link_probability * normalized_occurrences AS w FROM ({TOPIC}))) WHERE place <= 25")
-def other_topics(spark, sf_dir):
-    return lk.other_topics(rolled_topics(Wiki(spark, sf_dir))).withColumn("weight", r("weight"))
-
-
-OTHERS = "SELECT doc_id, page_id, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, page_id) AS place FROM (SELECT doc_id, page_id, avg_link_probability * normalized_occurrences AS w FROM topic)) WHERE place <= 25"
-
-
-def other_topic_sql() -> str:
-    CTES["topic"] = TOPIC
-    CTES["other"] = OTHERS
-    CTES["topic_pair"] = "SELECT DISTINCT least(t.page_id, o.page_id) AS a, greatest(t.page_id, o.page_id) AS b FROM topic t JOIN other o ON o.doc_id = t.doc_id AND o.page_id <> t.page_id"
-    CTES["topic_half"] = compared_sql("topic_pair")
-    CTES["topic_compared"] = "SELECT a, b, mean FROM topic_half UNION ALL SELECT b, a, mean FROM topic_half"
-    return "SELECT t.doc_id, t.page_id, round(CASE WHEN sum(o.w) > 0 THEN sum(coalesce(mean * o.w, 0)) / count(*) ELSE 0 END, 6) AS relatedness FROM topic t JOIN other o ON o.doc_id = t.doc_id LEFT JOIN topic_compared ON a = t.page_id AND b = o.page_id GROUP BY ALL"
-
-
-@query(other_topic_sql())
-def other_topic_relatedness(spark, sf_dir):
-    wiki = Wiki(spark, sf_dir)
-    found = wiki.once("topics", lambda: rolled_topics(wiki))
-    out = lk.with_others(found, *wiki.vectors, wiki.n_articles)
-    return out.select("doc_id", "page_id", r("relatedness_to_others").alias("relatedness"))
-
-
 @query("SELECT event_id, round(1 / (1 + exp(-(value - 50) / 10)), 9) AS score FROM events")
 def sigmoid_score(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", r(me.sigmoid((F.col("value") - 50) / 10), 9).alias("score"))
@@ -431,10 +326,17 @@ def sigmoid_score(spark, sf_dir):
 PROFILE = TrainingProfile(min_out_links=2, min_in_links=2, max_list_proportion=0.9, min_word_count=20, max_word_count=4000)
 
 
+def list_items(documents: DataFrame) -> DataFrame:
+    """(doc_id, list_items) of documents read as markup."""
+    from ..functions.wikitext import parsed
+
+    return parsed(documents.select(F.col("doc_id").alias("id"), F.col("text").alias("wikitext"))).select(F.col("id").alias("doc_id"), "list_items")
+
+
 @query(r"SELECT id FROM wpage JOIN documents ON doc_id = id WHERE page_type = 1 AND (SELECT count(*) FROM wlink WHERE source = id) >= 2 AND (SELECT count(*) FROM wlink WHERE destination = id) >= 2 AND len(string_split_regex(regexp_replace(text, '[ \t\n\v\f\r]+$', ''), '[ \t\n\v\f\r]+')) BETWEEN 20 AND 4000 AND (SELECT CASE WHEN count(*) FILTER (length(trim(replace(replace(x, ':', ' '), ';', ' '))) > 5) > 0 THEN count(*) FILTER (regexp_matches(x, '^[*#:;]')) / count(*) FILTER (length(trim(replace(replace(x, ':', ' '), ';', ' '))) > 5) ELSE 1 END FROM (SELECT unnest(string_split(text, chr(10))) AS x)) <= 0.9")
 def article_selection(spark, sf_dir):
     wiki = Wiki(spark, sf_dir)
-    texts = wiki.documents.select(F.col("doc_id").alias("id"), "text", F.col("text").alias("wikitext"))
+    texts = wiki.documents.join(list_items(wiki.documents), "doc_id").select(F.col("doc_id").alias("id"), "text", F.col("text").alias("wikitext"), "list_items")
     return tr.eligible(wiki.page, wiki.link, texts, PROFILE)
 
 
@@ -445,21 +347,6 @@ def disjoint_samples(spark, sf_dir):
     return tr.disjoint_samples(ids, (("train", 20), ("validate", 10), ("test", 10)))
 
 
-@query("SELECT source, label, link_destination, page_id, round(commonness, 6) AS commonness, is_correct FROM (SELECT *, max(is_correct::INT) OVER (PARTITION BY source, label, link_destination) AS hit FROM (SELECT DISTINCT k.source, k.anchor_text AS label, k.destination AS link_destination, s.destination AS page_id, s.commonness, s.destination = k.destination AS is_correct FROM wlink k JOIN (SELECT *, count(*) OVER (PARTITION BY label) AS m, max(commonness) OVER (PARTITION BY label) AS c FROM wsense) s ON s.label = k.anchor_text WHERE s.m > 1 AND s.c <= 0.98)) WHERE hit = 1")
-def wsd_examples(spark, sf_dir):
-    wiki = Wiki(spark, sf_dir)
-    none = spark.createDataFrame([], "source long, page_id long, in_vector double, out_vector double, in_distance double, out_distance double")
-    out = tr.sense_examples(wiki.link, wiki.senses, none, spark.createDataFrame([], "source long, quality double"), 0.02)
-    return out.select("source", "label", "link_destination", "page_id", r("commonness").alias("commonness"), "is_correct")
-
-
-@query(f"SELECT doc_id AS source, page_id, round(avg_link_probability, 6) AS avg_link_probability, EXISTS (SELECT 1 FROM wlink WHERE source = doc_id AND destination = page_id) AS is_valid_link FROM ({TOPIC}) WHERE page_id IN (SELECT id FROM wpage WHERE page_type = 1)")
-def link_examples(spark, sf_dir):
-    wiki = Wiki(spark, sf_dir)
-    out = tr.link_examples(rolled_topics(wiki).withColumnRenamed("doc_id", "source"), wiki.link, wiki.page)
-    return out.select("source", "page_id", r("avg_link_probability").alias("avg_link_probability"), "is_valid_link")
-
-
 @query("SELECT user_id, event_id, event_type, sum(c) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS group_id FROM (SELECT *, coalesce((event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id))::INT, 0) AS c FROM events)")
 def group_ids_islands(spark, sf_dir):
     return tr.islands(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "event_id", "event_type", ["user_id"])
@@ -518,15 +405,6 @@ def group_folds(spark, sf_dir):
 # text, models, sources: no SQL twin; tests hold them against golden cases or plain Python
 
 
-@query("SELECT doc_id, first_sentence IS NULL AS is_empty FROM (SELECT doc_id, nullif(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') AS first_sentence FROM documents)")
-def excerpts(spark, sf_dir):
-    """Whether a text has an excerpt; the excerpts themselves are in wikitext_parse."""
-    from ..functions.wikitext import parsed
-
-    rows = parsed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("wikitext")))
-    return rows.select(F.col("id").alias("doc_id"), F.coalesce("snippet.first_paragraph", "snippet.first_sentence").isNull().alias("is_empty"))
-
-
 @query()
 def wikitext_parse(spark, sf_dir):
     from ..functions.wikitext import parsed
@@ -546,39 +424,16 @@ def label_documents(spark, sf_dir):
     return found.select("doc_id", "page_id", r("prediction").alias("prediction"), r("weight").alias("weight"))
 
 
-@query()
-def gbt_rank_train(spark, sf_dir):
-    from ..storage import stored
-
-    wiki = Wiki(spark, sf_dir)
-    rows = stored(gr.commonness(wiki.raw_senses).join(gr.in_degree(wiki.link).withColumnRenamed("page_id", "destination").withColumnRenamed("n", "degree"), "destination", "left"), "senses")
-    own = wiki.link.select("source", F.col("anchor_text").alias("label"), F.col("destination").alias("truth")).distinct()
-    rows = own.join(rows, "label").withColumn("label_is_correct", (F.col("destination") == F.col("truth")).cast("double")).withColumn("fold", tr.fold_of(F.col("truth"), 3))
-    out = ev.cross_validated(stored(rows.select("source", "label", "truth", "destination", "commonness", F.col("degree").cast("double").alias("degree"), "label_is_correct", "fold")), ("commonness", "degree"), "label_is_correct", "fold", 3, rounds=5, depth=3)
-    return ev.ranking_metrics(out, ["source", "label", "truth"], "raw", "label_is_correct", "destination")
-
-
-@query()
-def gbt_link_train(spark, sf_dir):
-    from ..storage import stored
-
-    wiki = Wiki(spark, sf_dir)
-    rows = tr.link_examples(rolled_topics(wiki).withColumnRenamed("doc_id", "source"), wiki.link, wiki.page).withColumn("target", F.col("is_valid_link").cast("double"))
-    features = ("normalized_occurrences", "max_confidence", "avg_confidence", "avg_link_probability", "max_link_probability")
-    rows = stored(tr.stratified_folds(rows, "target", F.struct(tr.sample_order(F.concat_ws("-", "source", "page_id")), F.col("source"), F.col("page_id")), 3))
-    return ev.binary_metrics(ev.cross_validated(rows, features, "target", "fold", 3, rounds=5, depth=3), "score", "target", 0.5)
-
-
-@query("SELECT page_id AS id, 'Title ' || page_id AS title, 1 AS page_type, length(url)::BIGINT AS n_chars, epoch_ms(TIMESTAMP '2024-01-01' + to_days((page_id % 300)::INT))::BIGINT AS last_edited FROM pages")
+@query("SELECT page_id AS id, 'Title ' || page_id AS title, 1 AS page_type, length(text)::BIGINT AS n_chars, md5(text) AS text_md5, epoch_ms(TIMESTAMP '2024-01-01' + to_days((page_id % 300)::INT))::BIGINT AS last_edited FROM (SELECT page_id, nullif(trim(replace(replace(html, chr(160), ' '), '&nbsp;', ' ')), '') AS text FROM pages)")
 def xml_dump_scan(spark, sf_dir):
-    """Writes the pages as an XML dump to the shared folder and scans it."""
+    """Writes the pages, with their whole html as text, as an XML dump to the shared folder and scans it."""
     from ..sources.dump import read_pages, written_dump
 
     pages = table(spark, sf_dir, "pages")
     stamp = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rows = pages.select(F.col("page_id").alias("id"), F.lit(0).alias("ns"), F.concat(F.lit("Title "), F.col("page_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("redirect"), stamp.alias("timestamp"), F.col("url").alias("text"))
+    rows = pages.select(F.col("page_id").alias("id"), F.lit(0).alias("ns"), F.concat(F.lit("Title "), F.col("page_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("redirect"), stamp.alias("timestamp"), F.col("html").alias("text"))
     found = read_pages(spark, written_dump(rows), ENGLISH)
-    return found.select("id", "title", "page_type", F.length("wikitext").cast("long").alias("n_chars"), "last_edited")
+    return found.select("id", "title", "page_type", F.length("wikitext").cast("long").alias("n_chars"), F.md5(F.col("wikitext").cast("binary")).alias("text_md5"), "last_edited")
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import more, whole  # noqa: F401  add their queries as they are imported
+from . import more, related  # noqa: F401  add their queries as they are imported
 from .queries import QUERIES, SQL
 
 

@@ -1,4 +1,4 @@
-"""Queries over whole tables, beside those whose SQL asks for a part of them."""
+"""Queries of relatedness and of what is built on it, over whole tables."""
 
 from __future__ import annotations
 
@@ -9,13 +9,16 @@ from ..config import MIN_SENSE_TRAIN
 from ..functions import measures as me
 from ..functions import text as tx
 from ..functions.ngrams import counted_ngrams
+from ..functions.wikitext import parsed
 from ..operators import context as cx
+from ..operators import evaluation as ev
 from ..operators import graph as gr
 from ..operators import linking as lk
 from ..operators import relatedness as rl
 from ..operators import training as tr
+from ..storage import stored
 from .bridge import CTES, CUSTOMER, NATION, Star, Wiki, compared_sql, table
-from .queries import query, r, rolled_topics
+from .queries import query, r
 
 # relatedness: every pair of pages that shares a link; of all other pairs the measures are those of no common link
 
@@ -27,30 +30,30 @@ def linked_sql() -> str:
 
 
 @query("SELECT x.page_id AS a, y.page_id AS b, x.dir, count(*)::BIGINT AS common FROM weighted x JOIN weighted y ON y.dir = x.dir AND y.link = x.link AND x.page_id < y.page_id GROUP BY ALL")
-def whole_common_links(spark, sf_dir):
+def common_links(spark, sf_dir):
     return rl.all_common_links(Wiki(spark, sf_dir).vectors[0]).select("a", "b", "dir", "common")
 
 
 @query("SELECT x.page_id AS a, y.page_id AS b, x.dir, round(sum(x.w * y.w) / sqrt(sum(x.w * x.w) * sum(y.w * y.w)), 6) AS cosine FROM weighted x JOIN weighted y ON y.dir = x.dir AND y.link = x.link AND x.page_id < y.page_id GROUP BY ALL HAVING sum(x.w * x.w) > 0 AND sum(y.w * y.w) > 0")
-def whole_lf_iaf_cosine(spark, sf_dir):
+def lf_iaf_cosine(spark, sf_dir):
     found = rl.all_common_links(Wiki(spark, sf_dir).vectors[0]).where("square_a > 0 and square_b > 0")
     return found.select("a", "b", "dir", r(me.cosine(F.col("dot"), F.col("square_a"), F.col("square_b"))).alias("cosine"))
 
 
 @query(linked_sql())
-def whole_page_comparison(spark, sf_dir):
+def page_comparison(spark, sf_dir):
     wiki = Wiki(spark, sf_dir)
     out = rl.compare(None, *wiki.vectors, wiki.n_articles)
     return out.select("a", "b", *(r(c).alias(c) for c in (*rl.MEASURES, "mean")))
 
 
 @query("SELECT a, b, round(in_distance, 6) AS in_distance, round(out_distance, 6) AS out_distance FROM compared_linked")
-def whole_link_distance(spark, sf_dir):
-    return whole_page_comparison(spark, sf_dir).select("a", "b", "in_distance", "out_distance")
+def link_distance(spark, sf_dir):
+    return page_comparison(spark, sf_dir).select("a", "b", "in_distance", "out_distance")
 
 
 @query("SELECT dir, page_id, link, round(w, 6) AS w FROM weighted")
-def whole_link_weights(spark, sf_dir):
+def link_weights(spark, sf_dir):
     return Wiki(spark, sf_dir).vectors[0].withColumn("w", r("w"))
 
 
@@ -60,7 +63,7 @@ def whole_link_weights(spark, sf_dir):
 @query(
     "SELECT id AS category_id, title, round(f / n * ln(f + 1), 6) AS score, f::BIGINT AS frequency FROM (SELECT p.id, p.title, count(*) AS f FROM link JOIN page p ON p.id = destination WHERE p.page_type = 2 AND source IN (SELECT 2000000000 + c_custkey FROM customer) GROUP BY ALL), (SELECT count(*) AS n FROM customer) ORDER BY f / n * ln(f + 1) DESC, id LIMIT 20"
 )
-def whole_related_categories(spark, sf_dir):
+def related_categories(spark, sf_dir):
     """The top 20 is the query itself; the ids asked for are all customers, and all nations, which are no articles."""
     star = Star(spark, sf_dir)
     ids = star.of("customer").select((F.lit(CUSTOMER) + F.col("c_custkey")).alias("id"))
@@ -68,62 +71,176 @@ def whole_related_categories(spark, sf_dir):
     return gr.related_categories(ids, star.page, star.link).withColumn("score", r("score"))
 
 
-# n-grams of up to ten tokens; no SQL twins, tests hold them against plain Python
+# n-grams of up to ten tokens
 
+CASE_SQL = r"""CASE WHEN len(w) = 0 THEN 'MIXED' WHEN len(list_filter(w, lambda t: NOT regexp_matches(t, '^\p{Lu}+$'))) = 0 THEN 'UPPER' WHEN len(list_filter(w, lambda t: NOT regexp_matches(t, '^\p{Ll}+$'))) = 0 THEN 'LOWER' WHEN len(list_filter(w, lambda t: NOT regexp_matches(t, '^\p{Lu}+$|^\p{Lu}\p{Ll}*$'))) = 0 THEN 'UPPER_FIRST' ELSE 'MIXED' END"""
+CASED = r"SELECT *, list_filter(regexp_extract_all(content, '[\p{L}\p{M}]+|\p{N}+|[^ \t\n\r\f]'), lambda t: regexp_matches(t, '\p{L}')) AS w FROM (SELECT DISTINCT content FROM ngram10)"
 
-@query()
-def whole_ngrams_line(spark, sf_dir):
+
+@query("SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT content)::BIGINT AS n_distinct, max(content) AS last FROM ngram10 GROUP BY 1")
+def ngrams_line(spark, sf_dir):
     found = counted_ngrams(table(spark, sf_dir, "documents"))
     return found.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"), F.max("content").alias("last"))
 
 
-@query()
-def whole_case_context(spark, sf_dir):
+@query(f"SELECT case_context, substr(md5(content), 1, 2) AS bucket, count(*)::BIGINT AS n, sum(('0x' || substr(md5(content), 3, 8))::BIGINT)::BIGINT AS checksum FROM (SELECT content, {CASE_SQL} AS case_context FROM ({CASED})) GROUP BY ALL")
+def case_context(spark, sf_dir):
+    """The case of every distinct n-gram; as they are millions, their number and a checksum for each of 256 parts."""
     found = counted_ngrams(table(spark, sf_dir, "documents")).select("content").distinct()
-    return found.select("content", tx.case_of(tx.tokens(F.col("content"))).alias("case_context"))
+    digest = F.md5(F.col("content").cast("binary"))
+    rows = found.select(tx.case_of(tx.tokens(F.col("content"))).alias("case_context"), F.substring(digest, 1, 2).alias("bucket"), F.conv(F.substring(digest, 3, 8), 16, 10).cast("long").alias("part"))
+    return rows.groupBy("case_context", "bucket").agg(F.count("*").alias("n"), F.sum("part").alias("checksum"))
 
 
-# links and senses with the relatedness measures at the production thresholds; no SQL twins either
+# labels by place, topics and the links that they deserve
 
 
-def against_context(wiki: Wiki, pages: DataFrame, context: DataFrame, by: str) -> DataFrame:
-    """Measures, both ways, of pages and the pages of their contexts."""
-    pairs = pages.select(by, F.col("page_id").alias("x")).join(context.select(by, F.col("page_id").alias("y")), by).where("x <> y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return wiki.once(f"against_context_{by}", lambda: rl.both_ways(rl.compare(pairs, *wiki.vectors, wiki.n_articles)))
+@query('SELECT doc_id, start, "end", label, page_id, round(confidence, 6) AS confidence FROM resolved')
+def resolved_places(spark, sf_dir):
+    return Wiki(spark, sf_dir).linked["resolved"].select("doc_id", "start", "end", "label", "page_id", r("confidence").alias("confidence"))
 
 
-def related_topics(wiki: Wiki) -> DataFrame:
-    """Topics with their relatedness to the context and to the heaviest others."""
-    pages = wiki.doc_labels.join(wiki.senses, "label").select("doc_id", F.col("destination").alias("page_id")).distinct()
-    compared = against_context(wiki, pages, wiki.context, "doc_id")
-    best = wiki.once("whole_best", lambda: lk.best_senses(lk.sense_candidates(wiki.doc_labels, wiki.senses, wiki.context, compared), lk.linear_score(lk.SENSE_WEIGHTS)))
-    related = rl.to_context(best.select("doc_id", "page_id").distinct(), wiki.context, compared)
-    found = rolled_topics(wiki, best).join(related.select("doc_id", "page_id", F.col("relatedness").alias("relatedness_to_context")), ["doc_id", "page_id"], "left")
-    return lk.with_others(wiki.once("whole_topics", lambda: found.fillna(0.0, ["relatedness_to_context"])), *wiki.vectors, wiki.n_articles)
+@query("SELECT doc_id, page_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in lk.LINK_FEATURES) + ", round(prediction, 6) AS prediction FROM feature")
+def topic_features(spark, sf_dir):
+    return Wiki(spark, sf_dir).linked["links"].select("doc_id", "page_id", *(r(c).alias(c) for c in (*lk.LINK_FEATURES, "prediction")))
 
 
-@query()
-def whole_likely_links(spark, sf_dir):
+@query("SELECT doc_id, page_id, forms FROM topic")
+def surface_forms(spark, sf_dir):
+    return Wiki(spark, sf_dir).linked["links"].select("doc_id", "page_id", F.array_join("surface_forms", "|").alias("forms"))
+
+
+@query("SELECT doc_id, page_id, round(w, 6) AS weight FROM other")
+def other_topics(spark, sf_dir):
+    return lk.other_topics(Wiki(spark, sf_dir).linked["links"]).withColumn("weight", r("weight"))
+
+
+@query("SELECT doc_id, page_id, round(relatedness_to_others, 6) AS relatedness FROM to_others")
+def other_topic_relatedness(spark, sf_dir):
+    wiki = Wiki(spark, sf_dir)
+    out = lk.with_others(wiki.linked["links"].drop("relatedness_to_others"), *wiki.vectors, wiki.n_articles)
+    return out.select("doc_id", "page_id", r("relatedness_to_others").alias("relatedness"))
+
+
+@query("SELECT doc_id, page_id, round(avg_link_probability * normalized_occurrences, 6) AS weight, round(prediction, 6) AS prediction FROM feature WHERE prediction > 0.25")
+def likely_links(spark, sf_dir):
     from ..api import likely_links as cut
 
-    weight = me.topic_weight(F.col("avg_link_probability"), F.col("normalized_occurrences"))
-    rows = cut(lk.predicted(related_topics(Wiki(spark, sf_dir))))
-    return rows.select("doc_id", "page_id", r(weight).alias("weight"), *(r(c).alias(c) for c in ("relatedness_to_context", "relatedness_to_others", "prediction")))
+    return cut(Wiki(spark, sf_dir).linked["links"]).select("doc_id", "page_id", r("weight").alias("weight"), r("prediction").alias("prediction"))
+
+
+def marked_topics(wiki: Wiki) -> DataFrame:
+    found = wiki.linked["links"].select(F.col("doc_id").alias("source"), "page_id", *lk.LINK_FEATURES)
+    return tr.link_examples(found, wiki.link, wiki.page)
 
 
-def training_context(wiki: Wiki) -> DataFrame:
-    """Contexts of the pages from the labels of their own links."""
-    own = wiki.link.select("source", F.col("anchor_text").alias("label")).distinct().join(wiki.usable.select("label"), "label", "left_semi")
-    senses = gr.commonness(wiki.raw_senses, MIN_SENSE_TRAIN)
-    return wiki.once("training_context", lambda: cx.contexts(own, wiki.labels, senses, gr.in_degree(wiki.link), cx.date_labels(wiki.spark), *wiki.vectors, wiki.n_articles, MIN_SENSE_TRAIN, by="source"))
+@query("SELECT doc_id AS source, page_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in lk.LINK_FEATURES) + ", EXISTS (SELECT 1 FROM wlink WHERE source = doc_id AND destination = page_id) AS is_valid_link FROM feature WHERE page_id IN (SELECT id FROM wpage WHERE page_type = 1)")
+def link_examples(spark, sf_dir):
+    return marked_topics(Wiki(spark, sf_dir)).select("source", "page_id", *(r(c).alias(c) for c in lk.LINK_FEATURES), "is_valid_link")
+
+
+# word-sense examples, models, excerpts: no SQL twins, tests hold them against plain Python
+
+
+def sense_rows(wiki: Wiki) -> DataFrame:
+    """Word-sense examples of all pages, with their measures against the contexts from the pages' own links."""
+    from ..api import Graph
+
+    def make() -> DataFrame:
+        senses = wiki.once("training_senses", lambda: gr.commonness(wiki.raw_senses, MIN_SENSE_TRAIN))
+        graph = Graph.of_wiki(wiki)._replace(senses=senses)
+        named = wiki.link.select("source", F.col("anchor_text").alias("label")).distinct()
+        context = wiki.once("training_context", lambda: graph.contexts(named.join(wiki.usable.select("label"), "label", "left_semi"), MIN_SENSE_TRAIN, by="source"))
+        pages = named.join(senses, "label").select("source", F.col("destination").alias("page_id")).distinct()
+        related = rl.to_context(pages, context, graph.against(pages, context, "source"), "source")
+        return tr.sense_examples(wiki.link, senses, related, cx.quality(context, "source"), MIN_SENSE_TRAIN)
+
+    return wiki.once("sense_rows", make)
 
 
 @query()
-def whole_wsd_examples(spark, sf_dir):
-    wiki = Wiki(spark, sf_dir)
-    senses, context = wiki.once("training_senses", lambda: gr.commonness(wiki.raw_senses, MIN_SENSE_TRAIN)), training_context(wiki)
-    pages = wiki.link.select("source", F.col("anchor_text").alias("label")).distinct().join(senses, "label").select("source", F.col("destination").alias("page_id")).distinct()
-    related = rl.to_context(pages, context, against_context(wiki, pages, context, "source"), "source")
-    out = tr.sense_examples(wiki.link, senses, related, cx.quality(context, "source"), MIN_SENSE_TRAIN)
+def wsd_examples(spark, sf_dir):
+    out = sense_rows(Wiki(spark, sf_dir))
     return out.select("source", "label", "link_destination", "page_id", *(r(c).alias(c) for c in ("commonness", *rl.MEASURES, "quality")), "is_correct")
+
+
+@query()
+def gbt_rank_train(spark, sf_dir):
+    """All six features, five folds by destination; the trees are the operator's."""
+    rows = sense_rows(Wiki(spark, sf_dir)).withColumnRenamed("quality", "context_quality").withColumn("target", F.col("is_correct").cast("double"))
+    rows = stored(rows.withColumn("fold", tr.fold_of(F.col("link_destination"))))
+    out = ev.cross_validated(rows, lk.SENSE_FEATURES, "target", "fold")
+    return ev.ranking_metrics(out, ["source", "label", "link_destination"], "raw", "is_correct", "page_id")
+
+
+@query()
+def gbt_link_train(spark, sf_dir):
+    """All ten features, five folds of equal shares of links; the trees are the operator's."""
+    rows = marked_topics(Wiki(spark, sf_dir)).withColumn("target", F.col("is_valid_link").cast("double"))
+    rows = stored(tr.stratified_folds(rows, "target", F.struct(tr.sample_order(F.concat_ws("-", "source", "page_id")), F.col("source"), F.col("page_id"))))
+    return ev.binary_metrics(ev.cross_validated(rows, lk.LINK_FEATURES, "target", "fold"), "score", "target", 0.5)
+
+
+@query()
+def excerpts(spark, sf_dir):
+    """First paragraphs, else first sentences, of all documents that have one."""
+    from ..api import excerpts as of
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("wikitext"))
+    return of(docs, parsed(docs).withColumnRenamed("id", "page_id"))
+
+
+# look-ups and updates
+
+
+@query("SELECT label, destination, round(commonness, 9) AS commonness FROM wsense WHERE label IN (SELECT title FROM wpage WHERE id IN (0, 3, 5))")
+def senses_by_label(spark, sf_dir):
+    """A point look-up of three labels."""
+    from ..api import page_by_id, senses_of
+
+    wiki = Wiki(spark, sf_dir)
+    names = [x["title"] for x in page_by_id(wiki.page, 0, 3, 5).collect()]
+    return senses_of(wiki.senses, *names).select("label", "destination", r("commonness", 9).alias("commonness"))
+
+
+@query("SELECT label, occurrence_count FROM wlabel WHERE occurrence_count > 0")
+def known_labels(spark, sf_dir):
+    from ..api import known_labels as known
+
+    return known(Wiki(spark, sf_dir).labels).select("label", "occurrence_count")
+
+
+@query("SELECT label, link_count, 0::BIGINT AS occurrence_count, 0::BIGINT AS occurrence_doc_count FROM wlabel")
+def labels_reset(spark, sf_dir):
+    from ..sources.tables import without_occurrences
+
+    return without_occurrences(Wiki(spark, sf_dir).labels).select("label", "link_count", "occurrence_count", "occurrence_doc_count")
+
+
+NAMED = "(VALUES (0, 'FIRST_LETTER', ''), (1, 'CASE_SENSITIVE', 'Talk')) n(id, casing, name)"
+
+
+@query(f"SELECT p.page_id AS id, casing, name AS namespace FROM pages p JOIN {NAMED} ON n.id = p.page_id % 4")
+def page_namespaces(spark, sf_dir):
+    from ..api import with_namespace
+
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 4).cast("int").alias("namespace_id"))
+    named = spark.createDataFrame([(0, "FIRST_LETTER", ""), (1, "CASE_SENSITIVE", "Talk")], "id int, casing string, name string")
+    return with_namespace(pages, named).select("id", "casing", "namespace")
+
+
+@query(f"SELECT DISTINCT (page_id % 4)::INT AS id, 'FIRST_LETTER' AS casing, '' AS name FROM pages WHERE page_id % 4 NOT IN (SELECT id FROM {NAMED})")
+def unseen_namespaces(spark, sf_dir):
+    from ..sources.dump import unseen_namespaces as unseen
+
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 4).cast("int").alias("namespace_id"))
+    return unseen(pages, spark.createDataFrame([(0,), (1,)], "id int"))
+
+
+@query("SELECT 'link' AS kind, id FROM (SELECT id, row_number() OVER (ORDER BY md5(id || '-1'), id) AS place FROM wpage WHERE page_type = 1) WHERE place BETWEEN 31 AND 60 UNION ALL SELECT 'sense', id FROM (SELECT id, row_number() OVER (ORDER BY md5(id || '-1'), id) AS place FROM wpage WHERE page_type = 1) WHERE place <= 30")
+def training_pages(spark, sf_dir):
+    """Articles of link examples, none of which is among the articles of word-sense examples: groups of 30."""
+    ids = Wiki(spark, sf_dir).page.where("page_type = 1").select("id")
+    used = stored(tr.disjoint_samples(ids, (("train", 20), ("test", 10))).select("id").distinct(), "used")
+    rest = tr.disjoint_samples(ids.join(used, "id", "left_anti"), (("train", 20), ("test", 10)))
+    return rest.select(F.lit("link").alias("kind"), "id").unionByName(used.select(F.lit("sense").alias("kind"), "id"))

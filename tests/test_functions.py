@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from knotwork.config import ENGLISH, Language, Settings
+from knotwork.config import ENGLISH, LANGUAGES, Language, Settings
 from knotwork.functions import measures as me
 from knotwork.functions import ngrams as ng
 from knotwork.functions import text as tx
@@ -96,6 +96,22 @@ def test_ngrams():
     assert {x[2] for x in ng.label_candidates("The cat sat. It ran", 2, known)} == known
 
 
+def test_first_letters_of_both_engines(spark):
+    """The column functions and those of the Python workers turn first letters alike."""
+    words = ["ßa", "ǆep", "éa", "e\u0301a", "ﬁre", "İx", "ıx", "Ça", "日本", "1a", "a", "", "ΐx"]
+    assert apply(spark, tx.capitalize_first, *words) == [ng.capitalize(w) for w in words]
+    assert apply(spark, tx.uncapitalize_first, *(w.upper() for w in words)) == [ng.uncapitalize(w.upper()) for w in words]
+
+
+def test_languages():
+    assert set(LANGUAGES) == {"en", "en_simple", "fr"} and len(ENGLISH.disambiguation_prefixes) == 9 and "hndis" not in ENGLISH.disambiguation_prefixes
+    assert LANGUAGES["fr"].disambiguation_prefixes == ("homonymie",) and LANGUAGES["en_simple"].profile.min_in_links == 3
+    assert ENGLISH.profile.linking_groups == (("linking-train", 5000), ("linking-test", 2000))
+    assert Settings(language="fr").chosen is LANGUAGES["fr"]
+    with pytest.raises(ValueError, match="no language xx"):
+        Settings(language="xx").chosen
+
+
 def test_markup():
     page = (
         "{{Infobox|name=[[Inside]]}}'''Thing''' (''{{lang|x}}'') is a [[big thing|thing]]s of [[Place]]ville.<ref>[[no]]</ref> It has [[File:a.png|thumb|left|A [[cap]]tion]] parts &amp; more.\n"

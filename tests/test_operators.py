@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from knotwork import api, mining
+from knotwork import api, mining, storage
 from knotwork.config import Language, TrainingProfile
+from knotwork.operators import context as cx
 from knotwork.operators import evaluation as ev
 from knotwork.operators import graph as gr
 from knotwork.operators import labels as lb
@@ -19,7 +20,7 @@ from knotwork.operators import linking as lk
 from knotwork.operators import relatedness as rl
 from knotwork.operators import titles as tt
 from knotwork.operators import training as tr
-from knotwork.plans import bridge, more, queries, registry
+from knotwork.plans import bridge, more, queries, registry, related
 from knotwork.sources import dump, tables
 from knotwork.storage import new_path
 
@@ -47,6 +48,7 @@ def one_wiki():
         shared = functools.cache(bridge.Wiki)
         patch.setattr(queries, "Wiki", shared)
         patch.setattr(more, "Wiki", shared)
+        patch.setattr(related, "Wiki", shared)
         yield
 
 
@@ -81,11 +83,11 @@ def test_redirect_chains(spark):
 
 
 def test_shadow_filter(spark):
-    spans = [(0, 5), (15, 19), (15, 22), (19, 22)]
+    spans = [(2, 9), (4, 7), (9, 12), (11, 20), (11, 14), (20, 21)]
     frame = spark.createDataFrame([(1, a, b, False, i) for i, (a, b) in enumerate(spans)], "d int, start int, end int, first boolean, tie int")
     kept = lb.unshadowed(frame, ["d"], "tie")
-    assert sorted((r["start"], r["end"]) for r in kept.collect()) == [(0, 5), (15, 22)]
-    assert lb.unshadowed(kept, ["d"], "tie").count() == 2
+    assert sorted((r["start"], r["end"]) for r in kept.collect()) == [(2, 9), (9, 12), (11, 20), (20, 21)]
+    assert lb.unshadowed(kept, ["d"], "tie").count() == 4
 
 
 def test_detection(spark):
@@ -141,10 +143,12 @@ def test_softmax_and_best(spark):
 
 
 def test_list_ratio(spark):
-    texts = spark.createDataFrame([("* one item\n* two item\nplain line here\n:;",), ("",), ("short",)], "t string")
-    assert [r[0] for r in texts.select(tr.list_ratio(F.col("t"))).collect()] == [1.0, 1.0, 1.0]
-    one = spark.createDataFrame([("* one item\nplain line here\nanother line\nand more text",)], "t string")
-    assert one.select(tr.list_ratio(F.col("t"))).first()[0] == 0.25
+    from knotwork.functions.wikitext import parsed
+
+    texts = ["* one item\n* two item\nplain line here\n:;", "", "short", "* one item\nplain line here\nanother line\nand more text", "{|\n| * no item in a cell\n|}\n<!--\n* gone in a comment\n-->\nplain line here"]
+    rows = parsed(spark.createDataFrame(list(enumerate(texts)), "id long, wikitext string"))
+    found = {r["id"]: r["x"] for r in rows.select("id", tr.list_ratio(F.col("wikitext"), F.col("list_items")).alias("x")).collect()}
+    assert found == {0: 1.0, 1: 1.0, 2: 1.0, 3: 0.25, 4: 0.0}
 
 
 def test_samples_are_disjoint(spark):
@@ -252,7 +256,7 @@ def mine(spark, tmp_path_factory):
         text[i] = body(links)
     pages.append((60, 0, "Quick silver", "Mercury (element)"))
     path = dump_file(tmp_path_factory.mktemp("dump") / "wiki.xml", [(i, ns, t, to, text.get(i, "#REDIRECT")) for i, ns, t, to in pages])
-    profile = TrainingProfile(1, 2, 0.9, 5, 4000, (("train", 6), ("test", 3)), ())
+    profile = TrainingProfile(1, 2, 0.9, 5, 4000, (("train", 6), ("test", 3)), (("links", 3), ("more-links", 2)))
     return mining.Mine(spark, path, new_path(spark, "wiki"), Language("en", "English", ("disambig",), profile))
 
 
@@ -272,6 +276,11 @@ def test_phases(spark, mine):
     assert examples.count() > 0 and examples.where("is_correct").count() * 2 == examples.count()
     assert spark.read.option("header", True).csv(f"{t.path}/csv/wiki_en_train").count() > 0
     assert t.read("markup").where("snippet.first_sentence is null").count() == 2  # the empty categories
+    assert spark.read.option("header", True).csv(f"{t.path}/csv/wiki_en_train").columns == list(tables.SENSE_HEADER.values())
+    assert json.loads(t.read("configuration").first()["data"])["code"] == "en" and t.read("namespace").count() == 5
+    counts = [r["n"] for r in t.read("last_transclusion_count").collect()]
+    assert counts == sorted(counts, reverse=True)
+    assert api.with_namespace(mine.page, t.read("namespace")).where("namespace = 'Category'").count() == 2
     small = tables.shrunk(t.read("markup")).where("page_id = 1").first()
     assert small["text"] == "" and small["links"] == [] and small["snippet"]["first_sentence"] == "A page."
 
@@ -297,6 +306,97 @@ def test_documents_are_labelled(spark, mine):
     assert api.page_by_id(graph.page, 3).first()["title"] == "Orbit" and api.page_by_title(graph.page, "Nothing").count() == 0
 
 
+def test_link_training(spark, mine):
+    mine.run()
+    out = mine.link_training().collect()
+    t = mine.tables
+    samples = {r["id"]: r["group_name"] for r in t.read("link_sample").collect()}
+    used = {r["id"] for r in mine.used_pages().collect()}
+    assert len(samples) == 5 and not used & set(samples) and {r["source"] for r in out} <= set(samples)
+    links = {(r["source"], r["destination"]) for r in t.read("link").collect()}
+    kinds = {r["id"]: r["page_type"] for r in mine.page.collect()}
+    assert out and all(r["is_valid_link"] == ((r["source"], r["page_id"]) in links) and kinds[r["page_id"]] == 1 for r in out)
+    for r in out:
+        assert all(r[c] is not None for c in lk.LINK_FEATURES) and r["spread"] == pytest.approx(r["last_occurrence"] - r["first_occurrence"])
+        assert 0 <= r["first_occurrence"] <= r["last_occurrence"] < 1
+    rows = spark.read.option("header", True).csv(f"{t.path}/csv/wiki_en_links")
+    assert rows.columns == list(tables.LINK_HEADER.values()) and rows.count() == sum(samples[r["source"]] == "links" for r in out)
+    pages = {(r["source"], r["page_id"]) for r in t.read("link_training_context_page").collect()}
+    sums = {r["source"]: (r["group_name"], r["pages"]) for r in t.read("link_training_context").collect()}
+    assert sums == {i: (g, sum(s == i for s, _ in pages)) for i, g in samples.items()}
+    assert tables.name_of_export("a/b/wiki_en_links/") == "wiki_en_links" and tables.name_of_export("x/wiki_fr_test.csv") == "wiki_fr_test"
+
+
+def test_phases_must_be_complete(spark, tmp_path):
+    with pytest.raises(ValueError, match="aren't completed"):
+        mining.Mine(spark, "none.xml", str(tmp_path)).link_training()
+
+
+def test_pages_of_dates_are_no_context(spark):
+    page = spark.createDataFrame([(1, "May 5"), (2, "Mars"), (3, "5 mai"), (4, "1 août")], "id long, title string")
+    of = lambda code: {r["page_id"] for r in cx.date_pages(page, cx.dates_of(spark, code)).collect()}
+    assert of("en") == of("en_simple") == {1} and of("fr") == {3, 4}
+    labels = spark.createDataFrame([("day", 0.5), ("red", 0.5), ("May 5", 0.5)], "label string, link_probability double")
+    senses = spark.createDataFrame([("day", 1, 0.9), ("red", 2, 0.9), ("May 5", 2, 0.9)], "label string, destination long, commonness double")
+    own = spark.createDataFrame([(7, "day"), (7, "red"), (8, "May 5")], "doc_id long, label string")
+    none = spark.createDataFrame([], "page_id long, n long")
+    dates = cx.dates_of(spark, "en")
+    found = cx.candidates(own, labels, senses, none, dates, 0.02, date_pages=cx.date_pages(page, dates)).collect()
+    assert [(r["doc_id"], r["page_id"]) for r in found] == [(7, 2)]
+
+
+def test_hubs_are_not_expanded(spark):
+    """A pair's page with fewer links is the one expanded, on either side and in either direction."""
+    rng = random.Random(8)
+    links = [(s, 1) for s in range(10, 60)] + [(s, 2) for s in range(10, 14)] + [(s, 90) for s in range(50, 55)] + [(1, d) for d in range(20, 25)] + [(2, d) for d in range(20, 40)] + [(rng.randint(1, 9), rng.randint(60, 80)) for _ in range(40)]
+    frame = spark.createDataFrame([(s, d, "x") for s, d in links], "source long, destination long, anchor_text string")
+    weighted, sizes = rl.vectors(frame, 100)
+    pairs = [(1, 2), (1, 90), (2, 90), (3, 4), (5, 9), (1, 99)]
+    out = rl.compare(spark.createDataFrame(pairs, "a long, b long"), weighted, sizes, 100).collect()
+    assert len(out) == len(pairs)
+    for r in out:
+        assert [r[m] for m in rl.MEASURES] == pytest.approx(brute_compare(links, r["a"], r["b"], 100)), (r["a"], r["b"])
+
+
+def test_filters_lose_no_label(spark):
+    from knotwork.functions import ngrams as ng
+
+    names = [f"Label {i}" for i in range(3000)] + ["Straße", "İzmir", "日本"]
+    frame = spark.createDataFrame([(x,) for x in names], "label string").repartition(3)
+    longest, known = lb.vocabulary(frame)
+    plain, caseless = map(ng.Filter, known.value)
+    assert longest == 2 and all(x in plain and ng.caseless(x) in caseless for x in names)
+    assert sum(f"other {i}" in plain for i in range(3000)) < 100 and len(known.value[0]) * 8 <= 2 * 64 * len(names)
+    assert lb.vocabulary(frame.limit(0))[0] == 0
+
+
+def test_faulty_groups(spark):
+    rows = [(1, "a", 5), (1, "a", 6), (1, "b", 5), (1, "b", 5), (2, "c", None)]
+    found = lk.faulty_groups(spark.createDataFrame(rows, "doc_id long, label string, page_id long")).collect()
+    assert {(r["label"], r["problem"]) for r in found} == {("b", "duplicate"), ("c", "empty")}
+
+
+def test_shared_folder(spark):
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Elsewhere)
+    before = len(storage.WRITTEN)
+    a, b = storage.stored(spark.range(3)), storage.stored(spark.range(4))
+    files = a.inputFiles()
+    storage.discard(spark, before, -1)
+    assert len(storage.WRITTEN) == before + 1 and b.count() == 4
+    with pytest.raises(Exception):
+        spark.read.parquet(files[0])
+    storage.discard(spark, before)
+    assert len(storage.WRITTEN) == before
+
+
 def test_streams_equal_batches(spark, tmp_path):
     from knotwork.streaming.labels import stream_occurrences
 

@@ -1,6 +1,7 @@
-"""Queries over whole tables: what lies beyond the parts that the other queries ask for."""
+"""Queries of relatedness, n-grams, topics and excerpts against plain Python, and over all rows."""
 
 import functools
+import hashlib
 import math
 
 import duckdb
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from knotwork.operators import relatedness as rl
-from knotwork.plans import bridge, registry, whole
+from knotwork.functions import wikitext as wt
+from knotwork.plans import bridge, registry, related
 from test_operators import brute_compare
 
 
@@ -28,11 +30,11 @@ def wide_dir(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def wide_wiki(spark, wide_dir):
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(whole, "Wiki", functools.cache(bridge.Wiki))
+        patch.setattr(related, "Wiki", functools.cache(bridge.Wiki))
         yield
 
 
-@pytest.mark.parametrize("name", ["whole_common_links", "whole_lf_iaf_cosine", "whole_page_comparison", "whole_link_distance", "whole_link_weights"])
+@pytest.mark.parametrize("name", ["common_links", "lf_iaf_cosine", "page_comparison", "link_distance", "link_weights"])
 def test_pages_beyond_80_are_kept(spark, wide_dir, wide_wiki, name):
     con = duckdb.connect()
     for t in ("pages", "documents"):
@@ -45,7 +47,7 @@ def test_pages_beyond_80_are_kept(spark, wide_dir, wide_wiki, name):
     assert found == plain(got.fetchall())
     ids = {row[names.index("page_id" if "page_id" in names else "b")] for row in found}
     assert {81, 100, 119} <= ids
-    if name in ("whole_common_links", "whole_link_distance"):
+    if name in ("common_links", "link_distance"):
         pairs = {(row[names.index("a")], row[names.index("b")]) for row in found}
         assert pairs == {(min(k, (k + 1) % 120), max(k, (k + 1) % 120)) for k in range(120)}
 
@@ -78,39 +80,57 @@ def test_ngrams_of_ten_tokens(spark, tmp_path):
     texts = {1: "One two THREE four five six seven eight nine ten eleven, twelve.", 2: "a a a a a a a a a a a a\nNEW YORK", 3: "", 4: "Über 12 Ça va"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {k: list(runs(t, 10)) for k, t in texts.items()}
-    lines = {r["doc_id"]: (r["n"], r["n_distinct"], r["last"]) for r in registry.queries()["whole_ngrams_line"](spark, str(tmp_path)).collect()}
+    lines = {r["doc_id"]: (r["n"], r["n_distinct"], r["last"]) for r in registry.queries()["ngrams_line"](spark, str(tmp_path)).collect()}
     assert lines == {k: (len(v), len(set(v)), max(v, key=lambda x: x.encode())) for k, v in want.items() if v}
-    cases = {r["content"]: r["case_context"] for r in registry.queries()["whole_case_context"](spark, str(tmp_path)).collect()}
-    assert cases == {x: case(x) for v in want.values() for x in v}
-    assert "One two THREE four five six seven eight nine ten" in cases
+    assert "One two THREE four five six seven eight nine ten" in want[1]
+    cases = {}
+    for x in {x for v in want.values() for x in v}:
+        digest = hashlib.md5(x.encode()).hexdigest()
+        n, total = cases.get((case(x), digest[:2]), (0, 0))
+        cases[case(x), digest[:2]] = n + 1, total + int(digest[2:10], 16)
+    assert {(r["case_context"], r["bucket"]): (r["n"], r["checksum"]) for r in registry.queries()["case_context"](spark, str(tmp_path)).collect()} == cases
+
+
+def test_excerpts_are_first_paragraphs(spark, tmp_path):
+    texts = {1: "Head\nOne sentence. And more of it.\nNext.", 2: "Only one", 3: "", 4: None, 5: "''Slanted'' is [[x|this]]. It is (ok)."}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["page_id"]: r["first_paragraph"] for r in registry.queries()["excerpts"](spark, str(tmp_path)).collect()}
+    assert found == {1: "One sentence. And more of it.", 2: "Only one", 5: "Slanted is this. It is (ok)."}
+    assert all(found[k] == (wt.parse(texts[k])["snippet"]["first_paragraph"] or wt.parse(texts[k])["snippet"]["first_sentence"]) for k in found)
 
 
 def test_links_and_senses_with_relatedness(spark, tmp_path, monkeypatch):
     """Pages link to the three after them; 59 link "mercury" to page 1, and one to page 2: a sense of 1 in 60."""
-    monkeypatch.setattr(whole, "Wiki", functools.cache(bridge.Wiki))
+    monkeypatch.setattr(related, "Wiki", functools.cache(bridge.Wiki))
     a = lambda k, text: f'<a href="/p{k % 120:03d}">{text}</a>'
     html = lambda k: "".join(a(k + i, f"topic{(k + i) % 120:03d}") for i in (1, 2, 3)) + (a(1, "mercury") if k < 60 else a(2, "mercury") if k == 61 else "")
     spark.createDataFrame([(k, "u", html(k)) for k in range(120)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    spark.createDataFrame([(1, "mercury and topic005 topic006 topic007 topic020"), (2, "topic030 topic031")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    wiki = whole.Wiki(spark, str(tmp_path))
+    docs = {1: "mercury and topic005 topic006 topic007 topic020\nmercury", 2: "topic030 topic031"}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wiki = related.Wiki(spark, str(tmp_path))
     links, n = [(r["source"], r["destination"]) for r in wiki.link.collect()], wiki.n_articles
     compare = functools.cache(lambda a, b: brute_compare(links, a, b, n))
     context = {}
     for r in wiki.context.collect():
         context.setdefault(r["doc_id"], {})[r["page_id"]] = r["weight"]
-    rows = registry.queries()["whole_likely_links"](spark, str(tmp_path)).collect()
-    topics = {(r["doc_id"], r["page_id"]): r for r in whole.related_topics(wiki).collect()}
+    topics = {(r["doc_id"], r["page_id"]): r for r in registry.queries()["topic_features"](spark, str(tmp_path)).collect()}
+    best = {(r["doc_id"], r["label"]): r["page_id"] for r in registry.queries()["resolved_places"](spark, str(tmp_path)).collect()}
+    assert {d for d, _ in topics} <= {1, 2} and len(topics) > 2
     heavy = {d: {p: r["avg_link_probability"] * r["normalized_occurrences"] for (e, p), r in topics.items() if e == d} for d, _ in topics}
     mean = lambda p, others: sum(w * sum(compare(p, q)) / 4 for q, w in others.items() if q != p) / len(others)
-    for r in rows:
-        t = topics[r["doc_id"], r["page_id"]]
-        to_context, to_others = mean(r["page_id"], context[r["doc_id"]]), mean(r["page_id"], heavy[r["doc_id"]])
+    for (d, p), t in topics.items():
+        to_context, to_others = mean(p, context[d]), mean(p, heavy[d])
         score = 3 * t["avg_link_probability"] + 2 * to_context + 2 * to_others + t["avg_confidence"] + t["normalized_occurrences"] / 2 - 3
-        assert (r["relatedness_to_context"], r["relatedness_to_others"], r["prediction"]) == pytest.approx((to_context, to_others, 1 / (1 + math.exp(-score))), abs=2e-6)
-    assert any(r["relatedness_to_context"] > 0.01 and r["relatedness_to_others"] > 0.01 for r in rows)
-    examples = registry.queries()["whole_wsd_examples"](spark, str(tmp_path)).where("source in (3, 61)").collect()
+        assert (t["relatedness_to_context"], t["relatedness_to_others"], t["prediction"]) == pytest.approx((to_context, to_others, 1 / (1 + math.exp(-score))), abs=3e-6)
+        labels = [x for (e, x), q in best.items() if (e, q) == (d, p)]
+        at = [m.start() for x in labels for m in regex.finditer(x, docs[d])]
+        # each place counts all the matches of its label
+        assert t["normalized_occurrences"] == pytest.approx(math.log(sum(docs[d].count(x) ** 2 for x in labels) + 1), abs=1e-6)
+        assert (t["first_occurrence"], t["last_occurrence"]) == pytest.approx((min(at) / len(docs[d]), max(at) / len(docs[d])), abs=1e-6)
+    assert any(t["relatedness_to_context"] > 0.01 and t["relatedness_to_others"] > 0.01 for t in topics.values())
+    examples = registry.queries()["wsd_examples"](spark, str(tmp_path)).where("source in (3, 61)").collect()
     by_source = {}
-    for r in whole.training_context(wiki).collect():
+    for r in wiki.made["training_context"].collect():
         by_source.setdefault(r["source"], {})[r["page_id"]] = r["weight"]
     assert {(r["source"], r["page_id"], r["commonness"], r["is_correct"]) for r in examples} == {(s, p, round(c / 60, 6), p == d) for s, d in ((3, 1), (61, 2)) for p, c in ((1, 59), (2, 1))}
     for r in examples:
