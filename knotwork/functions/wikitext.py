@@ -101,6 +101,15 @@ def flat(parts: list[Node], captions: bool = True) -> str:
     return "".join(out)
 
 
+def nodes(parts: list[Node], kind: str) -> Iterator[Node]:
+    """All nodes of a kind, in order, those inside others too."""
+    for n in parts:
+        if n.kind == kind:
+            yield n
+        if n.kind != "text":
+            yield from nodes(n.parts, kind)
+
+
 def fields(node: Node) -> list[list[Node]]:
     """The parts of a link between its bars."""
     found: list[list[Node]] = [[]]
@@ -134,18 +143,15 @@ def link_text(node: Node, captions: bool) -> str:
 def links(parts: list[Node], markup: str) -> Iterator[Link]:
     """All links that aren't images, in order, those inside captions, titles and templates too. A target that stands
     in the markup as it reads is located there, any other at the start of its link."""
-    for n in parts:
-        if n.kind == "link":
-            target, *rest = fields(n)
-            name = plain(flat(target)).replace(PLACEHOLDER, "").strip()
-            if not is_image(name):
-                anchor = plain(flat(rest[0])).replace(PLACEHOLDER, "").strip() if rest else name
-                if anchor:
-                    begin = target[0].start if target else n.start + 2
-                    left = max(begin, markup.find(name, begin))
-                    yield Link(name, anchor, left, left + len(name))
-        if n.kind != "text":
-            yield from links(n.parts, markup)
+    for n in nodes(parts, "link"):
+        target, *rest = fields(n)
+        name = plain(flat(target)).replace(PLACEHOLDER, "").strip()
+        if not is_image(name):
+            anchor = plain(flat(rest[0])).replace(PLACEHOLDER, "").strip() if rest else name
+            if anchor:
+                begin = target[0].start if target else n.start + 2
+                left = max(begin, markup.find(name, begin))
+                yield Link(name, anchor, left, left + len(name))
 
 
 def plain(text: str) -> str:

@@ -18,6 +18,11 @@ def out_degree(link: DataFrame) -> DataFrame:
     return link.groupBy(F.col("source").alias("page_id")).agg(F.count_distinct("destination").alias("n"))
 
 
+def n_pages(link: DataFrame, by: str, name: str = "n") -> DataFrame:
+    """One row: how many pages stand on that side of a link."""
+    return link.select(by).distinct().agg(F.count("*").alias(name))
+
+
 def adjacency(link: DataFrame, by: str = "destination") -> DataFrame:
     """(page_id, links): sorted neighbours with repeats. One row holds one page's list."""
     other = "source" if by == "destination" else "destination"

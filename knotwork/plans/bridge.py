@@ -64,6 +64,15 @@ class Star:
             row(nation.join(self.of("region"), F.col("n_regionkey") == F.col("r_regionkey")), NATION, "n_nationkey", REGION, "n_regionkey", "r_name"),
         ])
 
+    @property
+    def edge(self) -> DataFrame:
+        """link without its texts: (source, destination), and no joins."""
+        row = lambda name, a, source, b, destination: self.of(name).select((F.lit(a) + F.col(source)).alias("source"), (F.lit(b) + F.col(destination)).alias("destination"))
+        return union([
+            row("orders", CUSTOMER, "o_custkey", ORDER, "o_orderkey"), row("lineitem", ORDER, "l_orderkey", PART, "l_partkey"), row("lineitem", PART, "l_partkey", SUPPLIER, "l_suppkey"),
+            row("supplier", SUPPLIER, "s_suppkey", NATION, "s_nationkey"), row("customer", CUSTOMER, "c_custkey", NATION, "c_nationkey"), row("nation", NATION, "n_nationkey", REGION, "n_regionkey"),
+        ])
+
     @property
     def redirecting(self) -> DataFrame:
         """Customers as pages; every third redirects to that of a third of its key, every thousandth to nowhere."""

@@ -43,23 +43,23 @@ def r(c, digits: int = 6):
 
 @query("SELECT destination AS page_id, count(DISTINCT source)::BIGINT AS n FROM link GROUP BY 1")
 def in_degree(spark, sf_dir):
-    return gr.in_degree(Star(spark, sf_dir).link)
+    return gr.in_degree(Star(spark, sf_dir).edge)
 
 
 @query("SELECT source AS page_id, count(DISTINCT destination)::BIGINT AS n FROM link GROUP BY 1")
 def out_degree(spark, sf_dir):
-    return gr.out_degree(Star(spark, sf_dir).link)
+    return gr.out_degree(Star(spark, sf_dir).edge)
 
 
 @query("SELECT destination AS page_id, count(*)::BIGINT AS n, min(source)::BIGINT AS first_link, max(source)::BIGINT AS last_link FROM link GROUP BY 1")
 def adjacency_size(spark, sf_dir):
-    lists = gr.adjacency(Star(spark, sf_dir).link)
+    lists = gr.adjacency(Star(spark, sf_dir).edge)
     return lists.select("page_id", F.size("links").cast("long").alias("n"), F.col("links")[0].alias("first_link"), F.element_at("links", -1).alias("last_link"))
 
 
 @query("SELECT destination AS page_id, count(DISTINCT source)::BIGINT AS n FROM link GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
 def top_linked_pages(spark, sf_dir):
-    return gr.top_linked(Star(spark, sf_dir).link, 100)
+    return gr.top_linked(Star(spark, sf_dir).edge, 100)
 
 
 @query(f"SELECT {clean_sql('anchor_text')} AS label, count(*)::BIGINT AS link_count, count(DISTINCT source)::BIGINT AS link_doc_count FROM link WHERE destination IN (SELECT id FROM page WHERE page_type IN (1, 4)) GROUP BY 1")

@@ -68,7 +68,7 @@ def related_categories(spark, sf_dir):
     star = Star(spark, sf_dir)
     ids = star.of("customer").select((F.lit(CUSTOMER) + F.col("c_custkey")).alias("id"))
     ids = ids.unionByName(star.of("nation").select((F.lit(NATION) + F.col("n_nationkey")).alias("id")))
-    return gr.related_categories(ids, star.page, star.link).withColumn("score", r("score"))
+    return gr.related_categories(ids, star.page, star.edge).withColumn("score", r("score"))
 
 
 # n-grams of up to ten tokens
@@ -217,6 +217,13 @@ def labels_reset(spark, sf_dir):
     return without_occurrences(Wiki(spark, sf_dir).labels).select("label", "link_count", "occurrence_count", "occurrence_doc_count")
 
 
+@query("SELECT count(DISTINCT destination)::BIGINT AS linked, count(DISTINCT source)::BIGINT AS linking FROM link")
+def linked_pages(spark, sf_dir):
+    """How many pages are linked, and how many link."""
+    edge = Star(spark, sf_dir).edge
+    return gr.n_pages(edge, "destination", "linked").join(gr.n_pages(edge, "source", "linking"))
+
+
 NAMED = "(VALUES (0, 'FIRST_LETTER', ''), (1, 'CASE_SENSITIVE', 'Talk')) n(id, casing, name)"
 
 

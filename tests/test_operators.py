@@ -416,3 +416,17 @@ def test_graph_sums(spark, sf_dir):
     assert gr.in_degree(link).agg(F.sum("n")).first()[0] == pairs == gr.out_degree(link).agg(F.sum("n")).first()[0]
     arms = gr.multiplicities(link)
     assert arms.where("cnt > most").count() == 0 and json.dumps(sorted(arms.columns))
+
+
+def test_commands(spark, mine, tmp_path, capsys, monkeypatch):
+    from knotwork.__main__ import main
+
+    mine.run()
+    main("shrink", mine.tables.path)
+    assert mine.tables.read("small_markup").where("wikitext is null and text = ''").count() == mine.tables.read("markup").count()
+    frame = spark.createDataFrame([(float(i), float(i % 2)) for i in range(20)], "x double, y double")
+    tables.save_model(ev.boosted_trees(("x",), "y", rounds=1, depth=1).fit(frame), f"{tmp_path}/model")
+    main("load-model", f"{tmp_path}/model", str(tmp_path), "rank")
+    assert tables.load_model(f"{tmp_path}/models/rank").transform(frame).count() == 20
+    with pytest.raises(SystemExit):
+        main("help")
