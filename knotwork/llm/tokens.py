@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
-from os.path import commonprefix
+from operator import sub
 
 #: Unicode white space, as the library's regular expressions know it.
 WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -23,6 +23,8 @@ RUN = re.compile(f"[{WS}] ")
 #: Entries that a worker's caches may hold (about 200 bytes each), that of words and each of the others; once full a
 #: cache stays as it is, and what it does not hold is worked out each time.
 WORDS, CACHE = 800_000, 100_000
+#: Beginnings of pieces whose state a worker holds, and their bytes at most.
+STATES, STATE_BYTES, SHORT = 400_000, 12, (2, 1)
 #: A word of Latin letters, perhaps with marks behind it: nearly all words, and their pieces are plain. An apostrophe
 #: may begin a piece of its own and ``<`` a special string, so they aren't among the marks.
 WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([,.;:!?#$%&*+=/()\[\]{}@~^|\"_-]{1,8})?").fullmatch
@@ -180,8 +182,8 @@ class Prefixes(Encoder):
             if len(t) > 2:
                 ends.setdefault(t[-3:], set()).add(len(t))
         self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in ends.items()}
-        #: States of the last piece that began with the same bytes: its common prefix isn't worked out again.
-        self.states: dict[bytes, tuple] = {}
+        #: (last token, count) of the first bytes of pieces: what pieces have in common isn't worked out again.
+        self.states: dict[bytes, tuple[bytes, int]] = {}
         self.pair = Cache(self.fits)
         self.counts = Cache(self.count_piece)
         self.pair.most = self.counts.most = WORDS  # both are short, and dear to work out again
@@ -200,24 +202,29 @@ class Prefixes(Encoder):
         """Exact token count of each non-empty prefix (in code points) of a piece."""
         raw = piece.encode("utf-8", "surrogatepass")
         n = len(raw)
-        known, last, count = self.states.get(raw[:4], (b"", [b""], [0]))
-        same = len(commonprefix((known, raw)))
-        last, count = last[: same + 1], count[: same + 1]
-        tokens, pair, lengths, short = self.tokens, self.pair, self.lengths, (2, 1)
-        for i in range(same + 1, n + 1):
-            for size in lengths.get(raw[i - 3 : i], short) if i > 2 else short:
+        last, count = [b""], [0]
+        tokens, pair, lengths, states = self.tokens, self.pair, self.lengths, self.states
+        for i in range(1, min(n, STATE_BYTES) + 1):
+            if (found := states.get(raw[:i])) is None:
+                break
+            last.append(found[0])
+            count.append(found[1])
+        for i in range(len(last), n + 1):
+            for size in lengths.get(raw[i - 3 : i], SHORT) if i > 2 else SHORT:
                 if size <= i and (t := raw[i - size : i]) in tokens and pair[last[i - size], t]:
                     last.append(t)
                     count.append(count[i - size] + 1)
                     break
-        if 4 <= n <= 64 and (raw[:4] in self.states or len(self.states) < 50_000):
-            self.states[raw[:4]] = raw, last, count
+            if i <= STATE_BYTES and len(states) < STATES:
+                states[raw[:i]] = last[i], count[i]
         if n == len(piece):
             return count[1:]
         return [count[i] for i in range(1, n + 1) if i == n or raw[i] & 0xC0 != 0x80]
 
     def of_word(self, word: str) -> bytes:
-        return self.of_chunk(" " + word)
+        """Deltas of a word of Latin letters behind a blank: one piece, which only ``after_blank`` need hold."""
+        found = self.count_piece(" " + word)
+        return array("h", map(sub, found, [0, *found])).tobytes()
 
     def of_chunk(self, chunk: str) -> bytes:
         """The int16 deltas of a chunk's code points."""
