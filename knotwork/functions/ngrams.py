@@ -133,30 +133,34 @@ class Filter:
     """A Bloom filter of texts: says no only to what isn't in it. ``bits``: a power of two of them, little-endian."""
 
     def __init__(self, bits: bytes):
-        self.bits, self.mask = bits, 8 * len(bits) - 1
-
-    @staticmethod
-    def places(text: str, size: int) -> tuple[int, int]:
-        """The two bits of a text among ``size``."""
         from xxhash import xxh64_intdigest
 
-        h = xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-        return h & size - 1, h >> 32 & size - 1
+        self.digest, self.bits, self.mask = xxh64_intdigest, bits, 8 * len(bits) - 1
+
+    def places(self, text: str) -> tuple[int, int]:
+        """The two bits of a text."""
+        h = self.digest(text.encode("utf-8", "surrogatepass"))
+        return h & self.mask, h >> 32 & self.mask
 
     def __contains__(self, text: str) -> bool:
-        a, b = self.places(text, self.mask + 1)
-        return bool(self.bits[a >> 3] >> (a & 7) & self.bits[b >> 3] >> (b & 7) & 1)
+        h = self.digest(text.encode("utf-8", "surrogatepass"))
+        a = h & self.mask
+        if not self.bits[a >> 3] >> (a & 7) & 1:
+            return False
+        b = h >> 32 & self.mask
+        return bool(self.bits[b >> 3] >> (b & 7) & 1)
 
 
 def filter_bits(labels: DataFrame, size: int, label_col: str = "label") -> DataFrame:
     """(kind, word, bits): the set bits, 32 a word, of the filters of the labels (kind 0) and of their caseless forms (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = Filter(bytes(size >> 3))
         for batch in batches:
             found: dict[tuple[int, int], int] = {}
             for label in batch.column(0).to_pylist():
                 for kind, text in enumerate((label, caseless(label))):
-                    for place in Filter.places(text, size):
+                    for place in empty.places(text):
                         key = kind, place >> 5
                         found[key] = found.get(key, 0) | 1 << (place & 31)
             kinds, words = zip(*found) if found else ((), ())
