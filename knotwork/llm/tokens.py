@@ -26,8 +26,9 @@ WORDS, CACHE = 800_000, 100_000
 #: Beginnings of pieces whose state a worker holds, and their bytes at most.
 STATES, STATE_BYTES, SHORT = 400_000, 12, (2, 1)
 #: A word of Latin letters, perhaps with marks behind it: nearly all words, and their pieces are plain. An apostrophe
-#: may begin a piece of its own and ``<`` a special string, so they aren't among the marks.
-WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([,.;:!?#$%&*+=/()\[\]{}@~^|\"_-]{1,8})?").fullmatch
+#: may begin a piece of its own and ``<`` a special string, so they aren't among the marks. Nor is the dotted capital I
+#: among the letters: in lower case it ends in a combining dot, which makes one piece with the marks behind it.
+WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([,.;:!?#$%&*+=/()\[\]{}@~^|\"_-]{1,8})?").fullmatch
 BYTE_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from knotwork.llm import mixing, packing, quality_classifier, quality_rules, simhash, token_counts, token_output, tokens
 from knotwork.llm.words import word_ids
 
-TEXTS = [None, "", " ", "one", "a b c d", "the cat sat\nthe cat sat\nthe cat sat", "é ü <|endoftext|> x  y\t\tz\n\n", "word " * 500, "A!! B!! C!!\n| a | b |", "zero width   blank\x85s", "\x1c\x1d words", "日本語 テキスト 😀😀", "don't we'll they're I've 'RE 12345 ...", "Word*** caps!! x$$$ a### b&&& (c) d-e f_ g/h i|j \"k\" l[1] m{} n@o p^~ Q... R?!, SS*** É%%% İx! ǆ;: ß==", "x" * 3000]
+TEXTS = [None, "", " ", "one", "a b c d", "the cat sat\nthe cat sat\nthe cat sat", "é ü <|endoftext|> x  y\t\tz\n\n", "word " * 500, "A!! B!! C!!\n| a | b |", "zero width   blank\x85s", "\x1c\x1d words", "日本語 テキスト 😀😀", "don't we'll they're I've 'RE 12345 ...", "Word*** caps!! x$$$ a### b&&& (c) d-e f_ g/h i|j \"k\" l[1] m{} n@o p^~ Q... R?!, SS*** É%%% İx! ǆ;: ß==", "x" * 3000, " İ!! aİ$$$\nb", "one.\nTwo two.\n\nTwo!\n'll\r\nthree\n\u0301a \nb\n"]
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def library(name):
 def test_ids_equal_the_library(name):
     own, lib = tokens.encoder(name), library(name)
     rng = random.Random(1)
-    made = ["".join(rng.choice(["a", "b", "the", "ing", " ", "  ", "\n", "\t", "é", "ß", "İ", ".", ",", "!!", "'s", "'ll", "7", "42", "***", "!!", "$$$", "_", "-", "|", "日", "😀", " ", "<|endoftext|>", "<|", "|>"]) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    made = ["".join(rng.choice(["a", "b", "the", "The", "ing", " ", "  ", "\n", "\n", "\r\n", "\u0301", "\t", "é", "ß", "İ", ".", ",", "!!", "'s", "'ll", "7", "42", "***", "!!", "$$$", "_", "-", "|", "日", "😀", " ", "<|endoftext|>", "<|", "|>"]) for _ in range(rng.randint(1, 60))) for _ in range(400)]
     for text in [t for t in TEXTS if t] + made:
         assert np.frombuffer(own.ids(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
@@ -44,7 +44,7 @@ def test_ids_equal_the_library(name):
 def test_prefix_counts_equal_the_library():
     own, lib = tokens.prefixes("byte_bpe_50k.json"), library("byte_bpe_50k.json")
     rng = random.Random(2)
-    made = ["".join(rng.choice(["a", "th", "ing", " ", "  ", "\n", "é", "'s", "'ll", "7", "日", ".", "<|endoftext|>"]) for _ in range(rng.randint(1, 25))) for _ in range(60)]
+    made = ["".join(rng.choice(["a", "th", "The", "ing", " ", "  ", "\n", "\n", "\u0301", "é", "'s", "'ll", "7", "日", ".", "<|endoftext|>"]) for _ in range(rng.randint(1, 25))) for _ in range(60)]
     for text in [t for t in TEXTS if t and len(t) < 100] + made:
         found = np.cumsum(np.frombuffer(own.deltas(text), "<i2")).tolist()
         assert found == [len(lib.encode(text[: i + 1], add_special_tokens=False).ids) for i in range(len(text))], text
