@@ -29,6 +29,8 @@ STATES, STATE_BYTES, SHORT = 400_000, 12, (2, 1)
 #: may begin a piece of its own and ``<`` a special string, so they aren't among the marks. Nor is the dotted capital I
 #: among the letters: in lower case it ends in a combining dot, which makes one piece with the marks behind it.
 WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([,.;:!?#$%&*+=/()\[\]{}@~^|\"_-]{1,8})?").fullmatch
+#: A word, one line break, and what stands behind it: nearly every such pair is new, its halves are not.
+BREAK = re.compile(f"([^{WS}]+)\n([^{WS}].*)", re.DOTALL).fullmatch
 BYTE_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -64,17 +66,18 @@ class Cache(dict):
 
 
 class Words(Cache):
-    """From a word behind a blank, given without it; marks behind the word are looked up on their own, and what has
-    several of them isn't held as a whole: such words hardly ever come again."""
+    """From a word behind ``before``, given without it; marks behind the word are looked up on their own, and what has
+    several of them isn't held as a whole: such words hardly ever come again. Nor is a word with a line break and what
+    stands behind it, which ``line`` gives."""
 
-    most = WORDS
-
-    def __init__(self, word, mark, other):
-        self.word, self.mark, self.other = word, Cache(mark), other
+    def __init__(self, before, word, mark, other, line, most=WORDS):
+        self.before, self.word, self.mark, self.other, self.line, self.most = before, word, Cache(mark), other, line, most
 
     def __missing__(self, key):
         if (m := WORD(key)) is None:
-            value = self.other(" " + key)
+            if cut := BREAK(key):
+                return self[cut[1]] + self.line(cut[2])
+            value = self.other(self.before + key)
         elif m[2]:
             value = self[m[1]] + self.mark[m[2]]
             if len(m[2]) > 1:
@@ -110,7 +113,8 @@ class Encoder:
 
             self.pieces = regex.compile(BYTE_PIECE).findall
             self.piece_ids = Cache(self.of_piece)
-        self.after_blank = Words(self.of_word, self.of_chunk, self.of_chunk)
+        self.after_blank = Words(" ", self.of_word, self.of_chunk, self.of_chunk, self.of_line)
+        self.line_starts = Words("", self.of_start, self.of_chunk, self.of_chunk, self.of_line, CACHE)
         self.chunks = Cache(self.of_chunk)
 
     def of_piece(self, piece: str) -> bytes:
@@ -126,6 +130,15 @@ class Encoder:
             return self.after_blank[low] if WORD(low) else self.of_chunk(" " + word)
         return self.of_piece(low)
 
+    def of_start(self, word: str) -> bytes:
+        """Ids of a word of Latin letters with nothing before it."""
+        return self.of_piece(word)
+
+    def of_line(self, rest: str) -> bytes:
+        """Ids of a line break between two words and of what follows. The word vocabulary knows white space only as
+        what parts words; in the byte vocabulary the break is a piece of its own."""
+        return self.chunks["\n"] + self.line_starts[rest] if self.byte_level else self.after_blank[rest]
+
     def of_chunk(self, chunk: str) -> bytes:
         if self.byte_level:
             found = self.pieces(chunk)
@@ -188,8 +201,6 @@ class Prefixes(Encoder):
         self.pair = Cache(self.fits)
         self.counts = Cache(self.count_piece)
         self.pair.most = self.counts.most = WORDS  # both are short, and dear to work out again
-        self.after_blank = Words(self.of_word, self.of_chunk, self.of_chunk)
-        self.chunks = Cache(self.of_chunk)
         self.runs = re.compile(f"([{WS}]*)([^{WS}]*)")
 
     def encoded(self, raw: bytes) -> list[int]:
@@ -224,7 +235,10 @@ class Prefixes(Encoder):
 
     def of_word(self, word: str) -> bytes:
         """Deltas of a word of Latin letters behind a blank: one piece, which only ``after_blank`` need hold."""
-        found = self.count_piece(" " + word)
+        return self.of_start(" " + word)
+
+    def of_start(self, word: str) -> bytes:
+        found = self.count_piece(word)
         return array("h", map(sub, found, [0, *found])).tobytes()
 
     def of_chunk(self, chunk: str) -> bytes:
