@@ -1,5 +1,5 @@
-"""Commands: mine DUMP PATH, link-training PATH, shrink PATH, load-model MODEL PATH NAME. The language and the number of
-workers come from the environment (config.Settings); a master that spark-submit or Spark's defaults name stands."""
+"""Commands: mine DUMP PATH, link-training PATH, shrink PATH, load-model MODEL PATH NAME. The language of a new
+wiki and the number of workers come from the environment (config.Settings), that of a mined one from its tables; a master that spark-submit or Spark's defaults name stands."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def main(command: str, *args: str) -> None:
         print(Mine(spark, dump, path, settings.chosen).run())
     elif command == "link-training":
         (path,) = args
-        print(Mine(spark, "", path, settings.chosen).link_training().count())
+        print(Mine.opened(spark, path).link_training().count())
     elif command == "shrink":
         (path,) = args
         tables = Tables(spark, path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 #: Page types by name.
 PAGE_TYPES = {"ARTICLE": 1, "CATEGORY": 2, "REDIRECT": 3, "DISAMBIGUATION": 4, "TEMPLATE": 5, "DANGLING_REDIRECT": 6, "UNPARSEABLE": 7, "UNHANDLED": 8}
@@ -55,6 +55,16 @@ class Language:
             found[r["code"]] = Language(r["code"], r["name"], tuple(r["disambiguationPrefixes"]), profile)
         return found
 
+    def stored(self) -> str:
+        """As the configuration table holds it."""
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def restored(data: str) -> Language:
+        r = json.loads(data)
+        groups = {k: tuple((name, size) for name, size in r["profile"][k]) for k in ("disambiguator_groups", "linking_groups")}
+        return Language(**r | {"disambiguation_prefixes": tuple(r["disambiguation_prefixes"]), "profile": TrainingProfile(**r["profile"] | groups)})
+
 
 #: The languages' names of disambiguation templates, and their training profiles (links out and in, share
 #: of list items, words, and the names and sizes of groups).

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
-from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +27,19 @@ class Mine:
         self.tables = Tables(spark, path)
         self.ledger = Ledger(self.tables)
 
+    @staticmethod
+    def opened(spark: SparkSession, path: str) -> Mine:
+        """A wiki that was mined before, with the language that it was mined with."""
+        tables = Tables(spark, path)
+        rows = tables.read("configuration").where("id = 'language'").collect() if tables.has("configuration") else []
+        if not rows:
+            raise ValueError(f"no configuration is stored in {tables.path}")
+        return Mine(spark, "", path, Language.restored(rows[0]["data"]))
+
     def pages(self) -> None:
         """1. Pages, markup and transclusion counts of the dump."""
         t = self.tables
-        config = self.spark.createDataFrame([("language", json.dumps(asdict(self.language)))], "id string, data string")
+        config = self.spark.createDataFrame([("language", self.language.stored())], "id string, data string")
         t.write("configuration", config.coalesce(1))
         header = site_info(self.spark, self.dump)
         rows = first_wins(read_pages(self.spark, self.dump, self.language), ["id"], "last_edited")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from knotwork import api, mining, storage
-from knotwork.config import Language, TrainingProfile
+from knotwork.config import LANGUAGES, Language, TrainingProfile
 from knotwork.operators import context as cx
 from knotwork.operators import evaluation as ev
 from knotwork.operators import graph as gr
@@ -278,7 +278,9 @@ def test_phases(spark, mine):
     assert spark.read.option("header", True).csv(f"{t.path}/csv/wiki_en_train").count() > 0
     assert t.read("markup").where("snippet.first_sentence is null").count() == 2  # the empty categories
     assert spark.read.option("header", True).csv(f"{t.path}/csv/wiki_en_train").columns == list(tables.SENSE_HEADER.values())
-    assert json.loads(t.read("configuration").first()["data"])["code"] == "en" and t.read("namespace").count() == 5
+    again = mining.Mine.opened(spark, t.path)
+    assert again.language == mine.language and again.run() == [] and Language.restored(LANGUAGES["fr"].stored()) == LANGUAGES["fr"]
+    assert t.read("namespace").count() == 5
     counts = [r["n"] for r in t.read("last_transclusion_count").collect()]
     assert counts == sorted(counts, reverse=True)
     assert api.with_namespace(mine.page, t.read("namespace")).where("namespace = 'Category'").count() == 2
@@ -331,6 +333,8 @@ def test_link_training(spark, mine):
 def test_phases_must_be_complete(spark, tmp_path):
     with pytest.raises(ValueError, match="aren't completed"):
         mining.Mine(spark, "none.xml", str(tmp_path)).link_training()
+    with pytest.raises(ValueError, match="no configuration"):
+        mining.Mine.opened(spark, str(tmp_path))
 
 
 def test_pages_of_dates_are_no_context(spark):
@@ -424,6 +428,8 @@ def test_commands(spark, mine, tmp_path, capsys, monkeypatch):
 
     mine.run()
     main("shrink", mine.tables.path)
+    main("link-training", mine.tables.path)
+    assert int(capsys.readouterr().out.split()[-1]) == mine.tables.read("link_training_example").count() > 0
     assert mine.tables.read("small_markup").where("wikitext is null and text = ''").count() == mine.tables.read("markup").count()
     frame = spark.createDataFrame([(float(i), float(i % 2)) for i in range(20)], "x double, y double")
     tables.save_model(ev.boosted_trees(("x",), "y", rounds=1, depth=1).fit(frame), f"{tmp_path}/model")
