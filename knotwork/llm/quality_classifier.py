@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .tokens import forget
 from .util import numbered, spread, table
-from .words import SPACE, offsets, raw_texts, slices
+from .words import SPACE, offsets, raw_texts, slices, word_ids
 
 TRAIN_ROWS, TRAIN_LINES, STEPS = 3000, 200, 200
 THRESHOLD = 0.3
+#: Lines whose inputs are made, or worked on in double precision, at a time.
+BLOCK = 1 << 14
 #: Own features of a line, besides those of its neighbours.
 FEATURES = ("upper", "symbols", "exclamations", "bars", "digits", "same_as_before", "in_repeats", "seen_line", "words", "word_length", "marked_words")
 N = len(FEATURES)
@@ -62,13 +64,15 @@ def line_features(texts: list[bytes]) -> Lines:
     breaks = np.flatnonzero(raw == 10)
     start, end = np.concatenate([[0], breaks + 1]), np.append(breaks, len(raw))
     text = np.searchsorted(offsets([len(t) + 1 for t in texts]), start, "right") - 1
-    space = SPACE[raw]
-    word_at = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    word_end = np.flatnonzero(~space & np.append(space[1:], True))
+    ids = word_ids(texts)[0]
+    edges = np.diff(SPACE[raw].view(np.int8), prepend=np.int8(1), append=np.int8(1))
+    word_at, word_end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1) - 1
+    del edges
+    sizes, marked = np.minimum(word_end - word_at + 1, 50).astype(np.int8), MARK[raw[word_end]]
+    del word_end
     line = np.searchsorted(start, word_at, "right") - 1
+    del word_at
     n_words = np.bincount(line, minlength=len(start))
-    known: dict[bytes, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for w in joined.split()), np.int64, len(word_at))
     of_text = text[line]
 
     def in_lines(values: np.ndarray) -> np.ndarray:
@@ -78,17 +82,28 @@ def line_features(texts: list[bytes]) -> Lines:
     repeats = np.zeros(len(ids), bool)
     if len(ids) > 2:
         with np.errstate(over="ignore"):
-            x = ids.astype(np.uint64)
-            windows = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:]
-            windows = windows * np.uint64(0x165667B19E3779F9) ^ of_text[2:].astype(np.uint64) << np.uint64(40)
+            x = ids.view(np.uint64)
+            windows = x[:-2] * np.uint64(0x9E3779B97F4A7C15)
+            windows += x[1:-1]
+            windows *= np.uint64(0xC2B2AE3D27D4EB4F)
+            windows += x[2:]
+            windows *= np.uint64(0x165667B19E3779F9)
+            windows ^= of_text[2:].view(np.uint64) << np.uint64(40)
         inside = np.flatnonzero(of_text[2:] == of_text[:-2])
-        by = inside[np.argsort(windows[inside], kind="stable")]
-        equal = windows[by[1:]] == windows[by[:-1]]
-        twice = np.concatenate([by[1:][equal], by[:-1][equal]])
-        for k in range(3):
-            repeats[twice + k] = True
+        windows = windows[inside]
+        order = np.argsort(windows, kind="stable")
+        windows, inside = windows[order], inside[order]
+        del order
+        equal = windows[1:] == windows[:-1]
+        del windows
+        for twice in (inside[1:][equal], inside[:-1][equal]):
+            for k in range(3):
+                repeats[twice + k] = True
+        del inside, equal
+    del ids, of_text
     seen, dup, last = set(), np.zeros(len(start)), -1
-    for i, (t, content) in enumerate(zip(text.tolist(), joined.split(b"\n"))):
+    for i, (t, a, b) in enumerate(zip(text.tolist(), start.tolist(), end.tolist())):
+        content = joined[a:b]
         if t != last:
             seen, last = set(), t
         if content in seen:
@@ -96,17 +111,20 @@ def line_features(texts: list[bytes]) -> Lines:
         else:
             seen.add(content)
 
+    del seen
+    filled = start[start < len(raw)]  # all but an empty last line
+
     def share(of: np.ndarray, n: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(raw) + 1, np.int32 if len(raw) < 1 << 31 else np.int64)
-        np.cumsum(of[raw], out=sums[1:])
-        return (sums[end] - sums[start]) / np.maximum(n, 1)
+        sums = np.zeros(len(start), np.int64)
+        sums[: len(filled)] = np.add.reduceat(of[raw], filled, dtype=np.int64)  # none of them holds a line feed
+        return sums / np.maximum(n, 1)
 
     length = end - start
     letters = share(UPPER | LOWER, 1)
     own = np.stack([
         share(UPPER, letters), share(SYMBOL, length), share(mask(b"!"), length), share(mask(b"|"), length), share(DIGIT, length),
         in_lines(same) / np.maximum(n_words, 1), in_lines(repeats) / np.maximum(n_words, 1), dup, np.log1p(n_words) / 5,
-        in_lines(np.minimum(word_end - word_at + 1, 50)) / np.maximum(n_words, 1) / 10, in_lines(MARK[raw[word_end]]) / np.maximum(n_words, 1),
+        in_lines(sizes) / np.maximum(n_words, 1) / 10, in_lines(marked) / np.maximum(n_words, 1),
     ], axis=1)
     some = n_words > 0
     return Lines(text[some], length[some], own[some].astype(np.float32))
@@ -123,6 +141,13 @@ def with_neighbours(text: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((n, 1), np.float32), own, before, after], axis=1)
 
 
+def input_blocks(lines: Lines) -> Iterator[tuple[slice, np.ndarray]]:
+    """Which lines, and with_neighbours of them, ``BLOCK`` lines at a time."""
+    for a in range(0, len(lines.text), BLOCK):
+        b, near = a + BLOCK, slice(max(a - 1, 0), a + BLOCK + 1)
+        yield slice(a, b), with_neighbours(lines.text[near], lines.own[near])[a - near.start :][:BLOCK]
+
+
 class Chains:
     """Texts as chains of lines, longest first, so that step t works on the first ``alive[t]`` of them."""
 
@@ -152,6 +177,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -5, 5)
+
+
 class Model(NamedTuple):
     mean: np.ndarray
     scale: np.ndarray
@@ -160,13 +189,11 @@ class Model(NamedTuple):
     curve: tuple[float, float]
     share: float  # of label 1
 
-    def inputs(self, text: np.ndarray, own: np.ndarray) -> np.ndarray:
-        x = with_neighbours(text, own)
-        return np.clip((x - self.mean) / self.scale, -5, 5)
-
     def qualities(self, n: int, lines: Lines) -> np.ndarray:
         """Length-weighted mean marginal of each of n texts; NaN for those without lines."""
-        unary = self.inputs(lines.text, lines.own) @ self.weights
+        unary = np.zeros(len(lines.text))
+        for at, x in input_blocks(lines):
+            unary[at] = standard(x, self.mean, self.scale) @ self.weights
         good = sigmoid(np.add(*Chains(lines.text).messages(unary, self.link)))
         with np.errstate(invalid="ignore"):
             return np.bincount(lines.text, good * lines.length, n) / np.bincount(lines.text, lines.length, n)
@@ -180,34 +207,44 @@ class Model(NamedTuple):
 
 
 def fit(lines: Lines, label: np.ndarray, steps: int = STEPS) -> Model:
-    """label: 0 or 1 of each text. Gradient steps (Adam) on the field's penalised conditional likelihood."""
+    """label: 0 or 1 of each text. Gradient steps (Adam) on the field's penalised conditional likelihood. The inputs are
+    held once, in single precision; all else that is made of them is made of a block of lines at a time."""
     share = float(label.mean()) if len(label) else 0.5
     if not 0 < share < 1 or not len(lines.text):
         return Model(None, None, None, None, (0, 0), share)
-    x = with_neighbours(lines.text, lines.own).astype(float)
-    mean, scale = x.mean(0), x.std(0)
+    n = len(lines.text)
+    mean = sum(part.sum(0, dtype=float) for _, part in input_blocks(lines)) / n
+    scale = np.sqrt(sum(((part - mean) ** 2).sum(0) for _, part in input_blocks(lines)) / n)
     mean[0], scale = 0, np.maximum(scale, 1e-3)
     scale[0] = 1
-    x = np.clip((x - mean) / scale, -5, 5)
+    x = np.empty((n, len(mean)), np.float32)
+    for at, part in input_blocks(lines):
+        x[at] = standard(part, mean, scale)
     y = label[lines.text].astype(float)
     chains = Chains(lines.text)
     follows = np.ones(len(y), bool)
     follows[chains.at] = False
     j = np.flatnonzero(follows)
     told = np.array([[np.sum((y[j - 1] == a) & (y[j] == b)) for b in (0, 1)] for a in (0, 1)], float)
-    theta, n = np.zeros(x.shape[1] + 4), len(y)
+    theta = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         weights, link = theta[:-4], theta[-4:].reshape(2, 2)
-        unary = x @ weights
+        unary = np.concatenate([x[a : a + BLOCK] @ weights for a in range(0, n, BLOCK)])
         forward, backward = chains.messages(unary, link)
-        right = unary[j] + backward[j]
-        joint = np.stack([np.full(len(j), link[0, 0]), link[0, 1] + right, forward[j - 1] + link[1, 0], forward[j - 1] + link[1, 1] + right])
-        joint = np.exp(joint - joint.max(0)) if len(j) else np.zeros((4, 0))
-        expected = (joint / joint.sum(0)).sum(1)
-        gradient = np.concatenate([x.T @ (y - sigmoid(forward + backward)), told.ravel() - expected]) / n - 1e-3 * theta
+        expected = np.zeros(4)
+        for a in range(0, len(j), BLOCK):
+            k = j[a : a + BLOCK]
+            right = unary[k] + backward[k]
+            joint = np.stack([np.full(len(k), link[0, 0]), link[0, 1] + right, forward[k - 1] + link[1, 0], forward[k - 1] + link[1, 1] + right])
+            joint = np.exp(joint - joint.max(0))
+            expected += (joint / joint.sum(0)).sum(1)
+        off = y - sigmoid(forward + backward)
+        slope = sum(x[a : a + BLOCK].T @ off[a : a + BLOCK] for a in range(0, n, BLOCK))
+        gradient = np.concatenate([slope, told.ravel() - expected]) / n - 1e-3 * theta
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    del x
     model = Model(mean, scale, theta[:-4], theta[-4:].reshape(2, 2), (0, 0), share)
     quality = model.qualities(len(label), lines)
     some = ~np.isnan(quality)
@@ -257,13 +294,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: int
     made = picked.mapInArrow(run, f"_id {kind}, _label int, lengths binary, own binary").where("lengths is not null")
     once = made.groupBy("_id").agg(F.min(F.struct("own", "lengths", "_label")).alias("x"))  # an id may have many rows
     got = once.select("_id", "x.*").collect()  # at most `rows` rows of `lines` lines
-    got = sorted(got, key=lambda r: (str(r["_id"]), bytes(r["own"])))
+    got = sorted(got, key=lambda r: str(r["_id"]))
     lengths = [np.frombuffer(r["lengths"], "<i8") for r in got]
     if not got:
         return fit(line_features([]), np.zeros(0))
     text = np.repeat(np.arange(len(got)), [len(x) for x in lengths])
     found = Lines(text, np.concatenate(lengths), np.concatenate([np.frombuffer(r["own"], "<f4").reshape(-1, N) for r in got]))
-    return fit(found, np.array([r["_label"] for r in got]))
+    label = np.array([r["_label"] for r in got])
+    del got, lengths  # the fit needs the driver's memory
+    return fit(found, label)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

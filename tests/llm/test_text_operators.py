@@ -290,6 +290,45 @@ def test_fit_equals_plain_fit():
     assert np.allclose(model.scores([t.encode() for t in texts]), plain_scores(model, texts), atol=1e-5)
 
 
+def test_fit_in_blocks(monkeypatch):
+    """Blocks of a few lines give the inputs, the model and the scores of one block."""
+    rng = np.random.default_rng(5)
+    texts = ["\n".join(" ".join(rng.choice(["word", "UPPER!", "x#|", "42", "more of it"], rng.integers(1, 6))) for _ in range(rng.integers(0, 9))).encode() for _ in range(20)]
+    lines, label = quality_classifier.line_features(texts), np.arange(20) % 2
+    whole = quality_classifier.fit(lines, label, steps=15)
+    scores = whole.scores(texts)
+    for size in (1, 3, 7):
+        monkeypatch.setattr(quality_classifier, "BLOCK", size)
+        found = np.concatenate([x for _, x in quality_classifier.input_blocks(lines)])
+        assert np.array_equal(found, quality_classifier.with_neighbours(lines.text, lines.own))
+        model = quality_classifier.fit(lines, label, steps=15)
+        assert np.allclose(model.weights, whole.weights, atol=1e-9) and np.allclose(model.link, whole.link, atol=1e-9)
+        assert np.allclose(model.scores(texts), scores, atol=1e-9)
+
+
+def peak_bytes(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_fit_holds_its_inputs_once():
+    """The driver fits on up to 600,000 lines: it has no room for several matrices of them."""
+    n, rng = 200_000, np.random.default_rng(3)
+    lines = quality_classifier.Lines(np.repeat(np.arange(n // 200), 200), np.full(n, 40), rng.random((n, quality_classifier.N), dtype=np.float32))
+    assert peak_bytes(lambda: quality_classifier.fit(lines, np.arange(n // 200) % 2, steps=2)) < 500 * n
+
+
+def test_features_of_a_long_text_in_little_memory():
+    text = b"\n".join(b" ".join(b"w%07d" % (12 * i + k) for k in range(12)) for i in range(40_000))
+    assert peak_bytes(lambda: quality_classifier.line_features([text])) < 24 * len(text)
+
+
 def plain_scores(model, texts):
     """Each text's score, a line and a step at a time."""
     out = []
