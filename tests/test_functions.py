@@ -181,3 +181,49 @@ def test_known_labels_lose_no_form():
         every = ng.label_candidates(text, 2)
         known = {x[2] for x in every if rng.random() < 0.3}
         assert ng.label_candidates(text, 2, known) == [x for x in every if x[2] in known]
+
+
+def test_counting_ngrams_holds_a_slice_of_texts(monkeypatch):
+    """Many texts in one Arrow batch: what the worker holds follows a slice of them, and so do its batches."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    words, grabbed = [f"w{i}" for i in range(400)], []
+
+    class Frame:
+        schema = T.StructType().add("doc_id", T.LongType()).add("_n", T.IntegerType())
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, f, schema):
+            grabbed.append(f)
+
+    monkeypatch.setattr(ng, "spread", lambda df: df)
+    monkeypatch.setattr(ng.F, "lit", lambda x: ng.F)
+    monkeypatch.setattr(ng.F, "alias", lambda x: x, raising=False)
+    monkeypatch.setattr(ng.F, "col", lambda x: type("C", (), {"cast": lambda self, kind: self})())
+    n = 600
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([" ".join(words[i % 7 :]) for i in range(n)])], names=["doc_id", "text"])
+    tokens = [2 * (400 - i % 7) for i in range(n)]  # of two tokens each, of which "w" stands everywhere
+    total = sum(10 * t - 45 - (t // 2 - 1) for t in tokens)
+    for make, want in ((ng.counted_ngrams, total), (ng.ngram_totals, n), (ng.cased_ngrams, None)):
+        make(Frame())
+        tracemalloc.start()
+        rows = [len(out) for out in grabbed[-1](iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert max(rows) <= ng.BATCH and peak < 100e6, (make, max(rows), peak)
+        assert want in (None, sum(rows))
+
+
+def test_cases_by_bits_are_those_of_columns(spark):
+    from knotwork.functions import text as tx
+
+    texts = ["One two THREE four. NEW YORK 12 !\nx Y", "Über ÇA va ǅ á 日本 3", ""]
+    found = {(r["content"], r["case_context"]) for r in ng.cased_ngrams(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    want = {x for t in texts for x in ng.line_ngrams(t)}
+    rows = spark.createDataFrame([(x,) for x in want], "content string").select("content", tx.case_of(tx.tokens(F.col("content"))))
+    assert found == {tuple(r) for r in rows.collect()}
