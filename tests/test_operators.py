@@ -437,3 +437,14 @@ def test_commands(spark, mine, tmp_path, capsys, monkeypatch):
     assert tables.load_model(f"{tmp_path}/models/rank").transform(frame).count() == 20
     with pytest.raises(SystemExit):
         main("help")
+
+
+def test_metrics_without_predicted_or_true_rows(spark):
+    """What has no denominator is null, as in SQL, and no error."""
+    low = spark.createDataFrame([(0.1, 1.0), (0.2, 0.0), (0.3, 0.0)], "s double, t double")
+    none = ev.binary_metrics(low, "s", "t").first()
+    assert (none["tp"], none["fp"], none["fn"], none["tn"], none["precision"], none["recall"], none["f1"], none["auc"]) == (0, 0, 1, 2, None, 0.0, 0.0, 0.0)
+    one = ev.binary_metrics(low.where("t = 0"), "s", "t").first()
+    assert (one["tn"], one["precision"], one["recall"], one["f1"], one["auc"]) == (2, None, None, None, None)
+    rows = spark.createDataFrame([(float(i % 7), 0.0, i % 5) for i in range(40)], "x double, t double, fold int")
+    assert ev.binary_metrics(ev.cross_validated(rows, ("x",), "t", "fold", rounds=2), "score", "t").first()["tn"] == 40
