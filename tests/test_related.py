@@ -137,3 +137,31 @@ def test_links_and_senses_with_relatedness(spark, tmp_path, monkeypatch):
         others = by_source[r["source"]]
         want = [sum(compare(r["page_id"], q)[i] for q in others if q != r["page_id"]) / len(others) for i in range(4)]
         assert [r[m] for m in rl.MEASURES] + [r["quality"]] == pytest.approx([*want, sum(others.values())], abs=2e-6)
+
+
+def test_pairs_of_like_pages_meet_once(spark, monkeypatch):
+    """300 pages with the same links and 3 others: every pair is listed, but the links of like pages are joined once."""
+    from knotwork.operators import relatedness as rl
+
+    links = {k: {1: 0.5, 2: 0.25} for k in range(300)} | {300: {2: 1.0}, 301: {1: 0.5, 3: 2.0}, 302: {4: 1.0}}
+    rows = [("out", k, link, w) for k, x in links.items() for link, w in x.items()] + [("in", 5, 300, 1.0), ("in", 6, 300, 3.0)]
+    weighted = spark.createDataFrame(rows, "dir string, page_id long, link long, w double")
+    joined, sums = [], rl.link_sums
+    monkeypatch.setattr(rl, "link_sums", lambda met: joined.append(met.count()) or sums(met))
+    found = {(r["dir"], r["a"], r["b"]): (r["common"], r["dot"], r["square_a"], r["square_b"]) for r in rl.all_common_links(weighted).collect()}
+    by = {}
+    for d, k, link, w in rows:
+        by.setdefault((d, k), {})[link] = w
+    want = {}
+    for (d, a), x in by.items():
+        for (e, b), y in by.items():
+            if d == e and a < b and (both := x.keys() & y.keys()):
+                want[d, a, b] = len(both), sum(x[i] * y[i] for i in both), sum(x[i] ** 2 for i in both), sum(y[i] ** 2 for i in both)
+    assert found == want and len(want) > 44_000
+    assert joined[0] < 50
+    sizes = weighted.groupBy("dir", "page_id").agg(F.count("*").alias("size"))
+    measured = {(r["a"], r["b"]): r for r in rl.compare(None, weighted, sizes, 400).collect()}
+    assert measured.keys() == {(a, b) for _, a, b in want} and joined[1] < 50
+    asked = spark.createDataFrame([(0, 1), (0, 300), (5, 6), (0, 301)], "a long, b long")
+    for r in rl.compare(asked, weighted, sizes, 400).collect():
+        assert all(abs(r[m] - measured[r["a"], r["b"]][m]) < 1e-12 for m in (*rl.MEASURES, "mean"))
