@@ -448,3 +448,24 @@ def test_metrics_without_predicted_or_true_rows(spark):
     assert (one["tn"], one["precision"], one["recall"], one["f1"], one["auc"]) == (2, None, None, None, None)
     rows = spark.createDataFrame([(float(i % 7), 0.0, i % 5) for i in range(40)], "x double, t double, fold int")
     assert ev.binary_metrics(ev.cross_validated(rows, ("x",), "t", "fold", rounds=2), "score", "t").first()["tn"] == 40
+
+
+def test_detection_reads_each_text_once(spark):
+    """Natural and recased forms come from one pass over the texts."""
+    docs = spark.createDataFrame([(1, "THE cat sat. Cat and HAT"), (2, "the cat")], "doc_id long, text string")
+    found = lb.detect(docs, spark.createDataFrame([("cat",), ("Cat",), ("hat",), ("Hat",)], "label string"))
+    rows = {tuple(r) for r in found.collect()}
+    assert (1, 4, 7, "cat", "natural") in rows and (1, 21, 24, "Hat", "recased") in rows
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_kept_forms_are_those_made_anew():
+    from knotwork.functions import ngrams as ng
+
+    texts, known = ["THE cat sat. Cat and HAT", "the cat.\nCat 2", "CAT. cat", ""], {"cat", "Cat", "Hat", "the cat"}
+    near = set(map(ng.caseless, known))
+    calls = []
+    forms = ng.Once(lambda key: calls.append(key) or ng.known_forms(*key, known, near), most=5)
+    for text in texts:
+        assert ng.label_candidates(text, 2, forms=forms) == ng.label_candidates(text, 2, known)
+    assert len(forms) <= 5 and len(calls) > 5
