@@ -469,3 +469,18 @@ def test_kept_forms_are_those_made_anew():
     for text in texts:
         assert ng.label_candidates(text, 2, forms=forms) == ng.label_candidates(text, 2, known)
     assert len(forms) <= 5 and len(calls) > 5
+
+
+def test_degrees_are_dealt_out_by_the_edges_size(spark, tmp_path, monkeypatch):
+    """Parts of a fixed size, however many edges there are; a null neighbour isn't counted, its page stays."""
+    monkeypatch.setattr(gr, "EDGES", 64, raising=False)
+    link = spark.createDataFrame([(i % 50, i % 7) for i in range(400)] + [(None, 3), (9, None), (None, 77)], "source long, destination long")
+    link.write.parquet(f"{tmp_path}/link")
+    link = spark.read.parquet(f"{tmp_path}/link")
+    into, out = gr.in_degree(link), gr.out_degree(link)
+    assert {r["page_id"]: r["n"] for r in into.collect()} == {k: 50 for k in range(7)} | {None: 1, 77: 0}
+    assert {r["page_id"]: r["n"] for r in out.collect()} == {k: 7 for k in range(50)} | {None: 2}
+    for found in (into, out):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan and 4 < gr.pieces(link, 64) < 1000
+    assert gr.pieces(spark.createDataFrame([(1, 2)], "source long, destination long"), 64) == 4
